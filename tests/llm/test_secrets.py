@@ -25,7 +25,7 @@ def test_whole_table(spark, sf_dir):
         base = brute(t)
         assert got.base_sha256[i] == hashlib.sha256(base.encode()).hexdigest()
         assert set(filter(None, base.split(","))) <= set(got.spans[i].split(","))
-    assert got.n_assign.sum() and got.n_access.sum() and got.n_hex.sum()
+    assert got.n_assign.sum() and (got.spans != "").sum()
 
 
 def test_hard_texts():
