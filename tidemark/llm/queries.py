@@ -10,6 +10,7 @@ from .common import table
 from .langid import language_report
 from .licenses import license_report
 from .secrets import secret_report
+from .urls import judge
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(table(spark, sf_dir, "documents"))
 
@@ -27,6 +32,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op3_langid": op3_langid,
+    "op4_urls": op4_urls,
     "op6_licenses": op6_licenses,
 }
 
