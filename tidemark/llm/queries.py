@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bitpack import token_files
 from .common import table
 from .langid import language_report
 from .licenses import license_report
+from .packing import packing_report
 from .secrets import secret_report
 from .urls import judge
 
@@ -25,6 +27,21 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def vocabulary(name: str) -> str:
+    """A file of the installed public vocabularies."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_report(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op9_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(table(spark, sf_dir, "documents"))
 
@@ -33,6 +50,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op3_langid": op3_langid,
     "op4_urls": op4_urls,
+    "op5_packing": op5_packing,
+    "op9_bitpack": op9_bitpack,
     "op6_licenses": op6_licenses,
 }
 
