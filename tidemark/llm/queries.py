@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bitpack import token_files
 from .common import table
+from .decontaminate import leak_report
 from .langid import language_report
 from .licenses import license_report
 from .packing import packing_report
@@ -42,6 +43,10 @@ def op9_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(table(spark, sf_dir, "documents"))
 
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_urls": op4_urls,
     "op5_packing": op5_packing,
     "op9_bitpack": op9_bitpack,
+    "op7_decontaminate": op7_decontaminate,
     "op6_licenses": op6_licenses,
 }
 
