@@ -11,6 +11,7 @@ from .common import table
 from .decontaminate import leak_report
 from .langid import language_report
 from .licenses import license_report
+from .mtree import search_report
 from .packing import packing_report
 from .secrets import secret_report
 from .urls import judge
@@ -20,6 +21,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op2_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_report(table(spark, sf_dir, "embeddings"))
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op2_mtree": op2_mtree,
     "op3_langid": op3_langid,
     "op4_urls": op4_urls,
     "op5_packing": op5_packing,
@@ -61,4 +67,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_licenses": op6_licenses,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_mtree": """
+        WITH usable AS (
+            SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+        ), pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+            FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM pairs
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
+}
