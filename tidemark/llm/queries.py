@@ -13,6 +13,7 @@ from .langid import language_report
 from .licenses import license_report
 from .mtree import search_report
 from .packing import packing_report
+from .repeats import repeat_report
 from .secrets import secret_report
 from .urls import judge
 
@@ -52,6 +53,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op9_bitpack": op9_bitpack,
     "op7_decontaminate": op7_decontaminate,
+    "op10_repeats": op10_repeats,
     "op6_licenses": op6_licenses,
 }
 
