@@ -15,6 +15,7 @@ from .mtree import search_report
 from .packing import packing_report
 from .repeats import repeat_report
 from .secrets import secret_report
+from .similarity import similar_groups
 from .urls import judge
 
 
@@ -57,6 +58,10 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(table(spark, sf_dir, "documents"))
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bitpack": op9_bitpack,
     "op7_decontaminate": op7_decontaminate,
     "op10_repeats": op10_repeats,
+    "op8_jaccard": op8_jaccard,
     "op6_licenses": op6_licenses,
 }
 
