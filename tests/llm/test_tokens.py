@@ -34,6 +34,16 @@ def test_words_apart_are_the_same_ids(path, monkeypatch):
             assert ids[ends[i] : ends[i + 1]].tolist() == want[:-1].tolist(), more[i]
 
     same()
+    assert own.cut is not None
+
+    @settings(max_examples=150, deadline=None)
+    @given(st.lists(st.text(alphabet="".join(map(chr, range(32, 384))) + "\n  ", max_size=30), max_size=4))
+    def same_latin(more):
+        ids, ends = own.encode(more)
+        for i, want in enumerate(plain(path, more, 7)):
+            assert ids[ends[i] : ends[i + 1]].tolist() == want[:-1].tolist(), more[i]
+
+    same_latin()
     monkeypatch.setattr(Encoder, "MOST_WORDS", 3)
     for part in (texts[:7], texts[7:], texts):
         ids, ends = own.encode(part)
