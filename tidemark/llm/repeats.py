@@ -121,7 +121,7 @@ def decide(found: np.ndarray, hot: int = 0) -> tuple[np.ndarray, np.ndarray, np.
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     """Runs of many documents at a time."""
     held: list[np.ndarray] = []
-    for batch in pieces(batches, "text", _PIECE):
+    for batch in pieces(batches, "_text", _PIECE):
         batch = batch.filter(batch.column(0).is_valid())
         if not batch.num_rows:
             continue
@@ -153,11 +153,23 @@ def _bounded(ends: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
             at = stop - LENGTH + 1 if stop < e else e
 
 
+def adjacent(found: np.ndarray) -> np.ndarray:
+    """Runs of windows with those that follow each other in a document made one."""
+    found = found[np.lexsort((found["lo"], found["tag"], found["doc"]))]
+    new = np.ones(len(found), bool)
+    new[1:] = (found["doc"][1:] != found["doc"][:-1]) | (found["tag"][1:] != found["tag"][:-1]) | (found["lo"][1:] != found["lo"][:-1] + found["n"][:-1] + 1)
+    at = np.flatnonzero(new)
+    out = found[at]
+    last = found[np.append(at[1:], len(found)) - 1] if len(at) else out
+    out["n"] = last["lo"] + last["n"] - out["lo"]
+    return out
+
+
 def _first(buckets: int):
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, found in enumerate(_chunks(batches)):
             gone, known, rest = decide(found, _HOT)
-            rows = [((number * 7919 + i) % buckets, kind, pack_runs(part)) for i, (kind, part) in enumerate(((1, gone), (2, known))) if len(part)]
+            rows = [((number * 7919 + i) % buckets, kind, pack_runs(part)) for i, (kind, part) in enumerate(((1, adjacent(gone)), (2, known))) if len(part)]
             side = (rest["a"] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(side, kind="stable")
             cut = np.searchsorted(side[order], np.arange(buckets + 1))
@@ -185,7 +197,7 @@ def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def ready() -> Iterator[pa.RecordBatch]:
         if held:
             gone, known, _ = decide(np.concatenate(held))
-            yield _run_rows(1, gone)
+            yield _run_rows(1, adjacent(gone))
             yield _run_rows(2, known)
             held.clear()
 
@@ -203,7 +215,7 @@ def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From documents with their open runs: (a, doc, tag, lo, bytes) of these."""
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "_text"):
         data, ends = buffers(batch.column(2))
         open_runs = batch.column(3)
         flat = open_runs.flatten()
@@ -259,7 +271,7 @@ def _third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "_text"):
         data, ends = buffers(batch.column(1))
         raw = data.tobytes()
         rows = []
@@ -296,16 +308,19 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     spark = docs.sparkSession
     buckets = _BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("_text"))  # a new name: a kept one would let Spark plan the two exchanges below differently
     shared = not rows.groupBy("doc").count().where("count > 1 and doc is not null").isEmpty()
-    rows = rows.select("doc", (F.xxhash64("text") if shared else F.lit(0).cast("long")).alias("tag"), "text")
+    rows = rows.select("doc", (F.xxhash64("_text") if shared else F.lit(0).cast("long")).alias("tag"), "_text")
     dealt = rows.mapInArrow(_first(buckets), "bucket int, kind int, data binary").repartition("bucket").sortWithinPartitions("bucket")
     found, _ = written(dealt.mapInArrow(_second, _RUN_SCHEMA), "repeats")
     open_runs = found.where("kind = 2").groupBy("doc", "tag").agg(F.collect_list(F.struct("a", "lo", "n")).alias("open"))
-    contexts = rows.join(open_runs, ["doc", "tag"]).select("doc", "tag", "text", "open").mapInArrow(_contexts, "a long, doc long, tag long, lo int, context binary")
+    keyed = rows.where("doc is not null")  # the same plan on both sides of its two joins, so that its exchange is made once
+    contexts = keyed.join(open_runs, ["doc", "tag"]).select("doc", "tag", "_text", "open").mapInArrow(_contexts, "a long, doc long, tag long, lo int, context binary")
     more = contexts.repartition("a").sortWithinPartitions("a").mapInArrow(_third, "doc long, tag long, lo int, n int")
     gone = found.where("kind = 1").select("doc", "tag", "lo", "n").unionByName(more).groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "n")).alias("gone"))
-    out = rows.join(gone, ["doc", "tag"], "left").select("doc", "text", "gone").mapInArrow(_finish, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    joined = keyed.join(gone, ["doc", "tag"], "left").select("doc", "_text", "gone")
+    keyless = rows.where("doc is null").select("doc", "_text", F.lit(None).cast(joined.schema["gone"].dataType).alias("gone"))
+    out = joined.unionAll(keyless).mapInArrow(_finish, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumnRenamed("key", key)
 
 
