@@ -190,3 +190,10 @@ def leak_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = find_leaks(docs, benchmark).withColumn("n_hit", covered("spans"))
     names = F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string"))))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that leak_report() does not call contaminated, with their own columns, repeated rows and null keys."""
+    leaked = leak_report(docs, benchmark).where("contaminated and doc_id is not null").select("doc_id").distinct()
+    clean = docs.join(leaked, "doc_id", "left_anti")
+    return clean.select(*(F.col(f"`{c}`") for c in docs.columns))

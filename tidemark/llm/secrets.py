@@ -122,6 +122,14 @@ def redact_secrets(docs: DataFrame, text: str = "text", mask: str = "[secret]")
     return docs.withColumn(text, redact(F.col(f"`{text}`")))
 
 
+def redact_documents(docs: DataFrame) -> DataFrame:
+    """redact_secrets() for documents with n_chars, which becomes the new length of texts that changed."""
+    names = docs.columns
+    masked = redact_secrets(docs.withColumn("_before", F.col("text")))
+    changed = ~F.col("text").eqNullSafe(F.col("_before"))
+    return masked.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*(F.col(f"`{c}`") for c in names))
+
+
 def secret_report(docs: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, digest of the base spans, all spans; from scan_secrets()."""
 
