@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -52,7 +53,7 @@ class Encoder:
     What is remembered is bounded by MOST_WORDS and MOST_CHARS; beyond these it begins anew, with the same results.
     """
 
-    MOST_WORDS, MOST_CHARS = 1 << 19, 1 << 24
+    MOST_WORDS, MOST_CHARS = 400_000, 1 << 24
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -80,29 +81,40 @@ class Encoder:
 
     def _clear(self) -> None:
         self.fresh: list[str] = []
+        self.parts: dict[str, bytes] = {}
         self.first, self.rest = _Numbers(self.fresh, ""), _Numbers(self.fresh, " ")
         self.rest.size = self.first.size
         self.chars = 0
         self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def _spelt(self, part: str) -> str:
+        """The part as byte-level vocabularies write it."""
+        if part.isascii() and part.isprintable():
+            return part.replace(" ", chr(self.letters[32]))
+        return part.encode().decode("latin-1").translate(self.letters)
+
     def _learn(self) -> None:
         if self.fresh:
-            found: list = [None] * len(self.fresh)
+            found: list[bytes] = [b""] * len(self.fresh)
             hard = []
-            model = self.tokenizer.model
+            model, parts = self.tokenizer.model, self.parts
             for i, word in enumerate(self.fresh):
                 if self.cut and _PLAIN.fullmatch(word):
-                    parts = self.cut.findall(word.lower() if self.lower else word)
-                    found[i] = [t.id for p in parts for t in model.tokenize(p.encode().decode("latin-1").translate(self.letters))]
+                    own = []
+                    for part in self.cut.findall(word.lower() if self.lower else word):
+                        ids = parts.get(part)
+                        if ids is None:
+                            ids = parts[part] = array("I", [t.id for t in model.tokenize(self._spelt(part))]).tobytes()
+                        own.append(ids)
+                    found[i] = b"".join(own)
                 else:
                     hard.append(i)
             for at in range(0, len(hard), 4096):
                 some = hard[at : at + 4096]
                 for i, e in zip(some, self.tokenizer.encode_batch_fast([self.fresh[i] for i in some], add_special_tokens=False), strict=True):
-                    found[i] = e.ids
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
-            self.ids = np.concatenate([self.ids, flat])
+                    found[i] = array("I", e.ids).tobytes()
+            lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), np.uint32)])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
             self.chars += sum(map(len, self.fresh))
             self.fresh.clear()
