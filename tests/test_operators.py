@@ -5,7 +5,7 @@ import datetime
 import numpy as np
 import pytest
 
-from tidemark.operators import cooccurrence, factors, feedback, graph, ranking, rules, split
+from tidemark.operators import cooccurrence, factors, feedback, graph, lightgcn, ranking, rules, sampling, split
 from tidemark.operators.positions import before, codes
 from tidemark.sources import interactions as log
 
@@ -145,3 +145,39 @@ def test_fitting_lowers_the_loss_and_top_masks_seen(spark, monkeypatch):
     top = factors.top_factors(p, q, feedback.seen(y), 3).collect()
     seen = {(u, i) for u, i, _ in cells}
     assert top and not any((r.userid, r.itemid) in seen for r in top)
+
+
+def test_samples_stay_outside_what_is_liked(spark):
+    likes = spark.createDataFrame([(1, 1), (1, 3), (2, 2), (3, 1), (3, 2), (3, 3)], "userid long, itemid long")
+    items = spark.createDataFrame([(1,), (2,), (3,)], "itemid long")
+    own = {1: {1, 3}, 2: {2}}
+    got = sampling.negatives(likes, items, 5).collect()
+    assert sum(r.label for r in got) == 3 and len(got) == 18 and {r.userid for r in got} == {1, 2}
+    assert all((r.itemid in own[r.userid]) == bool(r.label) for r in got)
+    drawn = sampling.triples(likes, items, 1).collect()
+    assert drawn and all(r.liked in own[r.userid] and r.other not in own[r.userid] for r in drawn)
+    assert sorted(drawn) == sorted(sampling.triples(likes.repartition(3), items, 1).collect())
+
+
+def test_smoothing_equals_matrices(spark):
+    likes = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (2, 3)], "userid long, itemid long")
+    a = graph.adjacency(graph.edges(likes))
+    names = ["u1", "u2", "i1", "i2", "i3"]
+    m, e = np.zeros((5, 5)), np.random.default_rng(4).normal(size=(5, 2))
+    for r in a.collect():
+        m[names.index(r.src), names.index(r.dst)] = r.w
+    got = {r.node: r.vec for r in lightgcn.smoothed(a, spark.createDataFrame([(n, v.tolist()) for n, v in zip(names, e, strict=True)], "node string, vec array<double>"), 2, 2).collect()}
+    want = (e + m @ e + m @ m @ e) / 3
+    assert all(np.allclose(got[n], want[k]) for k, n in enumerate(names))
+
+
+def test_graph_training_moves_liked_items_up(spark):
+    y = spark.createDataFrame([(u, i, 5.0) for u in range(6) for i in range(6) if u % 2 == i % 2], "userid long, itemid long, y double")
+
+    def margin(epochs):
+        p, q = lightgcn.factors_of(lightgcn.fit(y, size=4, layers=1, rate=0.05, epochs=epochs))
+        p, q = (np.stack([r.vec for r in sorted(x.collect())]) for x in (p, q))
+        s, good = p @ q.T, np.add.outer(np.arange(6), np.arange(6)) % 2 == 0
+        return s[good].mean() - s[~good].mean()
+
+    assert margin(4) > margin(0)

@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cooccurrence, factors, feedback, graph, ranking, rules, split
+from ..operators import cooccurrence, factors, feedback, graph, lightgcn, ranking, rules, sampling, split
 from ..operators.positions import codes
 from ..sources import interactions as log
 
@@ -506,6 +506,27 @@ def cofactor_fit_scores(spark, sf_dir):
     return _fitted(spark, sf_dir, lambda y: factors.fit_cofactor(y, sweeps=2))
 
 
+@query()
+def lightgcn_scores(spark, sf_dir):
+    """Scores are sigmoids in single precision, whose ties fall back to the item's order."""
+    y, users, goal = _ranks(spark, sf_dir)
+    p, q = lightgcn.factors_of(lightgcn.fit(y, size=8, layers=2, epochs=2))
+    top = factors.top_factors(p.join(users.select("userid"), "userid", "left_semi"), q, feedback.seen(y), 10)
+    return top.select("userid", "itemid", F.round((1 / (1 + F.exp(-F.col("score")))).cast("float"), 6).alias("score"), "rank")
+
+
+@query()
+def negative_samples(spark, sf_dir):
+    y = _final(spark, sf_dir)[0]
+    return sampling.negatives(feedback.liked(y), y.select("itemid"))
+
+
+@query()
+def bpr_triples(spark, sf_dir):
+    y = _final(spark, sf_dir)[0]
+    return sampling.triples(feedback.liked(y), y.select("itemid"))
+
+
 @query()
 def kmeans_vectors(spark, sf_dir):
     """Clusters of the embeddings, the best of several seeds by training cost."""
