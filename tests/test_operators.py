@@ -181,3 +181,14 @@ def test_graph_training_moves_liked_items_up(spark):
         return s[good].mean() - s[~good].mean()
 
     assert margin(4) > margin(0)
+
+
+def test_samples_are_reproducible_and_pinned():
+    from tidemark.plans import search
+
+    a, b = search.samples(5, 42), search.samples(3, 42)
+    assert a[:3] == b and a != search.samples(5, 43)
+    assert a[0]["lightgcn"]["latent"] == 64 and a[0]["neumf"]["hidden_layers"] == (64, 32, 16, 8)
+    assert all(x["signal_wmf"]["latent"] == x["wmf"]["latent"] and x["cofactor"]["gamma"] > 0 for x in a)
+    rng = __import__("random").Random(42)
+    assert a[0]["wmf"]["latent"] == rng.choice(search.SHARED["latent"])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import cooccurrence, factors, feedback, graph, lightgcn, ranking, rules, sampling, split
 from ..operators.positions import codes
 from ..sources import interactions as log
+from .search import random_search, sample_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -535,6 +536,27 @@ def kmeans_vectors(spark, sf_dir):
     return best.transform(data).select("vec_id", F.col("prediction").cast("long").alias("cluster"))
 
 
+# ---- search
+@query()
+def hyperparam_samples(spark, sf_dir):
+    return sample_table(spark, 20)
+
+
+@query()
+def wmf_search(spark, sf_dir):
+    """Two rounds of plain factorisation on the validation window, at fewer sweeps than the grid's."""
+    y, target = split.fit_and_eval(*split.stage(_split(spark, sf_dir), final=False))
+    users, goal = ranking.eligible(y, target)
+    sizes = ranking.list_sizes(users.select("userid"), y, feedback.seen(y))
+
+    def score(model, settings):
+        p, q = factors.fit_wmf(y, settings["latent"], settings["lambda_rate"], settings["alpha"], 1, settings["random_state"])
+        top = factors.top_factors(p.join(users.select("userid"), "userid", "left_semi"), q, feedback.seen(y), 10)
+        return ranking.ndcg(top, users, goal, sizes, (10,)).where("grp = 'all'").first().ndcg
+
+    return random_search(spark, "sparse", score, ("wmf",), rounds=2)
+
+
 # ---- reports, on literal results
 _RESULTS = [("d1", "a", 42, 1, 0.2), ("d1", "a", 42, 2, 0.2), ("d1", "a", 43, 1, 0.25), ("d1", "b", 42, 1, 0.1), ("d1", "b", 43, 1, float("nan")), ("d1", "b", 43, 2, 0.4), ("d2", "a", 42, 1, 0.7)]
 _VALUES = ", ".join(f"('{d}', '{m}', {s}, {r}, {'NULL' if v != v else v}::DOUBLE)" for d, m, s, r, v in _RESULTS)
