@@ -17,6 +17,8 @@ from .common import WORD, buffers, folded, lists, pieces, spans_hash, word_bound
 WINDOW, KGRAM, WINNOW = 13, 5, 9
 #: Bytes of benchmark text that are broadcast at once. A larger benchmark goes over the documents in several passes.
 BLOCK_BYTES = 32 << 20
+#: Bytes of text hashed at a time; a task holds about 60 times as much.
+_PIECE = 2 << 20
 _HIT = "_key long, _same long, n_words long, spans array<struct<s:int,e:int>>, items array<long>"
 
 
@@ -124,7 +126,7 @@ def _scan(bench):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Benchmark = bench.value
-        for batch in pieces(batches, "_text"):
+        for batch in pieces(batches, "_text", _PIECE):
             words, first = words_of(batch.column(1))
             start, length, row, item = leaks(words, first, own)
             start, end = merged(start, start + length)
