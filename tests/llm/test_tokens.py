@@ -1,4 +1,5 @@
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -14,10 +15,15 @@ from tidemark.llm.tokens import Encoder
 WORD, BYTE = vocabulary("word_bpe_49k.json"), vocabulary("byte_bpe_50k.json")
 
 
-def plain(path, texts, end):
+@lru_cache
+def library(path):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
+    return Tokenizer.from_file(path)
+
+
+def plain(path, texts, end):
+    t = library(path)
     return [np.array([*e.ids, end], "<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
