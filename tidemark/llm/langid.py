@@ -18,7 +18,7 @@ BUCKETS, ORDERS, SMOOTHING = 1 << 15, (1, 2, 3), 0.1
 #: The model has at most so many languages: those with the most labelled documents. With BUCKETS that bounds what is broadcast.
 MAX_LANGUAGES = 256
 #: Code points that numpy works on at a time.
-_CHUNK = 1 << 20
+_CHUNK = 1 << 17
 _SPACE = 32
 
 

@@ -17,8 +17,8 @@ WORDS, OVER, UNDER = 5, 75, 100
 #: The first pass sends one in so many of a set's shingles besides those that any exact prefix filter must.
 MORE = 10
 #: Sets of one tree, shingles gathered before they are dealt out, sets of a gathering with one shingle from which it counts as common, buckets per shuffle partition, ids that are broadcast.
-TREE_SETS, _GATHER, _COMMON, _BUCKETS, _BROADCAST = 4096, 600_000, 64, 4, 1_000_000
-_PIECE = 2 << 20
+TREE_SETS, _GATHER, _COMMON, _BUCKETS, _BROADCAST = 4096, 300_000, 32, 4, 1_000_000
+_PIECE = 1 << 20
 _ALWAYS = 1 << 30
 
 
