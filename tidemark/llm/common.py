@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -47,6 +48,12 @@ def drop(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of steps that nothing refers to any more: its cleaner learns of them when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def lowered(text: str) -> str:
     """A-Z in lower case and nothing else; every code point keeps its place."""
     return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
