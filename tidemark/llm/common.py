@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -25,7 +24,6 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints', spark.sparkContext.applicationId)}"
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
@@ -41,6 +39,17 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def written_alone(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """written(), with df's shuffle files deleted as soon as the table is there; df should not be executed again."""
+    conf, setting = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(setting)
+    conf.set(setting, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.set(setting, before)
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Deletes tables of written() that nothing reads any more."""
     for path in paths:
@@ -48,12 +57,6 @@ def drop(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def released(spark: SparkSession) -> None:
-    """Has Spark delete the shuffle files of steps that nothing refers to any more: its cleaner learns of them when the driver collects its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def lowered(text: str) -> str:
     """A-Z in lower case and nothing else; every code point keeps its place."""
     return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")

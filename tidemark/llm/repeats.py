@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, mixed, pieces, released, written
+from .common import buffers, mixed, pieces, written_alone
 
 #: Bytes of a repeated string; bytes of an anchor, and the places among which the least anchor hash is chosen: any two equal
 #: strings of LENGTH bytes choose the same place, so comparing the surroundings of equal anchors finds every repeat.
@@ -312,9 +312,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     shared = not rows.groupBy("doc").count().where("count > 1 and doc is not null").isEmpty()
     rows = rows.select("doc", (F.xxhash64("_text") if shared else F.lit(0).cast("long")).alias("tag"), "_text")
     dealt = rows.mapInArrow(_first(buckets), "bucket int, kind int, data binary").repartition("bucket").sortWithinPartitions("bucket")
-    found, _ = written(dealt.mapInArrow(_second, _RUN_SCHEMA), "repeats")
-    del dealt
-    released(spark)  # the records dealt by anchor are no longer needed, and the text is about to be shuffled
+    found, _ = written_alone(dealt.mapInArrow(_second, _RUN_SCHEMA), "repeats")
     open_runs = found.where("kind = 2").groupBy("doc", "tag").agg(F.collect_list(F.struct("a", "lo", "n")).alias("open"))
     keyed = rows.where("doc is not null")  # the same plan on both sides of its two joins, so that its exchange is made once
     contexts = keyed.join(open_runs, ["doc", "tag"]).select("doc", "tag", "_text", "open").mapInArrow(_contexts, "a long, doc long, tag long, lo int, context binary")
