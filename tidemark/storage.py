@@ -14,7 +14,6 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints', spark.sparkContext.applicationId)}"
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
