@@ -2,11 +2,36 @@
 
 from __future__ import annotations
 
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import written
 from .feedback import LIKED, liked, seen
+from .positions import codes
+
+#: Starts of a clustering, of which the one of least cost counts.
+STARTS = 10
+
+
+def clusters(y: DataFrame, of: str, k: int, seed: int = 42, threshold: float = LIKED) -> DataFrame | None:
+    """(of, cluster) for of = userid or itemid by k-means over sparse rows of likes. Rows without a like teach nothing but
+    get a cluster. None, which is all in cluster 0, for k = 1 or without likes."""
+    other = "itemid" if of == "userid" else "userid"
+    likes = liked(y, threshold)
+    if k == 1 or likes.isEmpty():
+        return None
+    numbers = written(codes(y, other), "numbers")
+    n = numbers.count()
+    row = F.udf(lambda at: Vectors.sparse(n, at or [], [1.0] * len(at or [])), VectorUDT())
+    own = likes.join(numbers, other).groupBy(of).agg(F.array_sort(F.collect_set("idx")).alias("at"))
+    rows = written(y.select(of).distinct().join(own, of, "left").select(of, F.col("at").isNotNull().alias("active"), row("at").alias("features")), "rows")
+    active = rows.where("active")
+    fits = (KMeans(k=min(k, active.count()), seed=seed + s).fit(active) for s in range(STARTS))
+    best = min(fits, key=lambda m: m.summary.trainingCost)
+    return written(best.transform(rows).select(of, F.col("prediction").alias("cluster")), "clusters")
 
 
 def tokens(y: DataFrame, user_cluster: DataFrame | None = None, item_cluster: DataFrame | None = None, threshold: float = LIKED) -> DataFrame:
@@ -55,3 +80,10 @@ def normalised(s: DataFrame, how: str = "row_max") -> DataFrame:
         raise ValueError(how)
     value = F.log1p("s") if how == "log_row_max" else F.col("s")
     return s.withColumn("s", value).withColumn("s", F.col("s") / F.max("s").over(Window.partitionBy("userid")))
+
+
+def full_signal(y: DataFrame, how: str = "row_max", k_user: int = 1, k_item: int = 1, min_support: float = 0.0, min_confidence: float = 0.0, min_lift: float = 0.0, seed: int = 42) -> DataFrame:
+    """The normalised signal of all three families of rules, as a table: users x items not seen, where nothing is filtered."""
+    t = written(tokens(y, clusters(y, "userid", k_user, seed), clusters(y, "itemid", k_item, seed)), "tokens")
+    found = written(rules(y, t, min_support, min_confidence, min_lift), "rules")
+    return written(normalised(signal(t, found, seen(y)), how), "signal")

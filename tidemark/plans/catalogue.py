@@ -378,6 +378,15 @@ def rules_only_ndcg(spark, sf_dir):
     return ranking.ndcg(top, users, goal, ranking.list_sizes(users.select("userid"), y, feedback.seen(y)))
 
 
+@query(f"WITH {GOAL}, {SIGNAL.replace('KINDS', ALL_KINDS).removeprefix(FIT + ', ')}, r AS (SELECT userid, itemid, round(s, 9) AS s FROM signal){_top(200, 'coalesce(r.s, 0)', 'LEFT JOIN r ON r.userid = u.userid AND r.itemid = i.itemid')}{NDCG}")
+def rules_ndcg(spark, sf_dir):
+    """rules_only_ndcg, whose SQL leaves out the clusters of users, with all three families of rules."""
+    y, users, goal = _ranks(spark, sf_dir)
+    s = _signal(spark, sf_dir).select("userid", "itemid", F.round("s", 9).alias("score"))
+    top = ranking.top_sparse(s, users.select("userid"), y, feedback.seen(y), 200)
+    return ranking.ndcg(top, users, goal, ranking.list_sizes(users.select("userid"), y, feedback.seen(y)))
+
+
 # ---- co-occurrence
 def _counts(spark, sf_dir):
     return cooccurrence.counts(feedback.liked(_final(spark, sf_dir)[0]))
@@ -523,9 +532,7 @@ def wmf_fit_scores(spark, sf_dir):
 
 @query()
 def signal_wmf_fit_scores(spark, sf_dir):
-    t = lambda y: rules.tokens(y)
-    s = lambda y: rules.normalised(rules.signal(t(y), rules.rules(y, t(y)), feedback.seen(y), ("item",)))
-    return _fitted(spark, sf_dir, lambda y: factors.fit_wmf(y, sweeps=3, signal=s(y), gamma=0.5))
+    return _fitted(spark, sf_dir, lambda y: factors.fit_wmf(y, sweeps=3, signal=rules.full_signal(y), gamma=0.5))
 
 
 @query()
