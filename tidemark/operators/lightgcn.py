@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import passing, written
 from . import graph, sampling
 from .factors import _sums
 from .feedback import LIKED, liked
+from .positions import before
 
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
 
@@ -55,41 +56,58 @@ def _adam(rate: float, first: float, second: float):
     return lambda m, v: rate * m / first / (F.sqrt(v / second) + EPSILON)
 
 
-def fit(y: DataFrame, size: int = 16, layers: int = 3, rate: float = 0.001, weight: float = 1e-4, epochs: int = 10, seed: int = 42, threshold: float = LIKED) -> DataFrame:
+def fit(y: DataFrame, size: int = 16, layers: int = 3, rate: float = 0.001, weight: float = 1e-4, epochs: int = 10, seed: int = 42, threshold: float = LIKED, batch_size: int = 2048) -> DataFrame:
     """(node, vec): final propagated factors, nodes named as in graph.edges(). Each epoch draws fresh triples and takes one Adam step
-    on the mean of -log sigmoid(score difference) plus half the weight times the mean squared norm of the embeddings drawn."""
+    for every batch_size of them, in the order of the draws, which is random: on the mean of -log sigmoid(score difference) plus
+    half the weight times the mean squared norm of the embeddings drawn. A step's tables go with the next one."""
+    if batch_size < 1:
+        raise ValueError("batch_size must be positive")
+    spark = y.sparkSession
     likes = written(liked(y, threshold), "likes")
     a = written(graph.adjacency(graph.edges(likes)), "adjacency")
+    items = written(y.select("itemid").distinct(), "items")
     nodes = y.select(F.concat(F.lit("u"), "userid").alias("node")).unionByName(y.select(F.concat(F.lit("i"), "itemid").alias("node"))).distinct()
-    state = written(_initial(nodes, size, seed), "embeddings")
+    state, steps, old = written(_initial(nodes, size, seed), "embeddings"), 0, []
     for epoch in range(1, epochs + 1):
-        drawn = written(sampling.triples(likes, y.select("itemid"), seed + epoch).select(F.concat(F.lit("u"), "userid").alias("u"), F.concat(F.lit("i"), "liked").alias("p"), F.concat(F.lit("i"), "other").alias("n")), "triples")
-        n = max(1, drawn.count())
-        out = written(smoothed(a, state.select("node", "vec"), layers, size), "smoothed")
-        three = drawn
-        for c in "upn":
-            three = three.join(out.select(F.col("node").alias(c), F.col("vec").alias(f"v{c}")), c)
-
-        def gradients(batches: Iterator[pd.DataFrame], n=n) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if len(b):
-                    u, p, q = (np.stack(b[c]) for c in ("vu", "vp", "vn"))
-                    g = -1 / (1 + np.exp((u * (p - q)).sum(axis=1, keepdims=True))) / n
-                    yield pd.DataFrame({"node": pd.concat([b["u"], b["p"], b["n"]], ignore_index=True), "w": 1.0, "vec": list(np.concatenate([g * (p - q), g * u, -g * u]))})
-
-        outer = written(vector_sums(three.mapInPandas(gradients, "node string, w double, vec array<double>"), size), "gradients")
-        inner = smoothed(a, outer, layers, size)
-        used = drawn.select(F.explode(F.array("u", "p", "n")).alias("node")).groupBy("node").agg((F.count("*") * weight / n).alias("decay"))
-        zero = F.array(*(F.lit(0.0) for _ in range(size)))
-        both = state.join(inner.withColumnRenamed("vec", "g"), "node", "left").join(used, "node", "left")
-        g = F.zip_with(F.coalesce("g", zero), "vec", lambda x, e: x + e * F.coalesce("decay", F.lit(0.0)))
-        both = both.withColumn("g", g).withColumn("m", F.zip_with("m", "g", lambda m, x: BETA1 * m + (1 - BETA1) * x)).withColumn("v", F.zip_with("v", "g", lambda v, x: BETA2 * v + (1 - BETA2) * x * x))
-        first, second = 1 - BETA1**epoch, 1 - BETA2**epoch
-        step = F.zip_with("m", "v", _adam(rate, first, second))
-        state = written(both.select("node", F.zip_with("vec", step, lambda x, s: x - s).alias("vec"), "m", "v"), "embeddings")
+        with passing(spark):
+            named = written(sampling.draws(likes, items, seed + epoch).select("id", F.concat(F.lit("u"), "userid").alias("u"), F.concat(F.lit("i"), "liked").alias("p"), F.concat(F.lit("i"), "other").alias("n")), "draws")
+            drawn = written(before(named, "id", into="at").withColumn("batch", F.floor(F.col("at") / batch_size)), "triples")
+            n_drawn = drawn.count()
+            for batch in range((n_drawn + batch_size - 1) // batch_size):
+                steps += 1
+                some, n = drawn.where(F.col("batch") == batch).select("u", "p", "n"), min(batch_size, n_drawn - batch * batch_size)
+                with passing(spark) as made:
+                    made += old
+                    state = written(_step(a, some, n, state, layers, size, rate, weight, steps), "embeddings")
+                    old = [made.pop()]
     return written(smoothed(a, state.select("node", "vec"), layers, size), "smoothed")
 
 
+def _step(a: DataFrame, drawn: DataFrame, n: int, state: DataFrame, layers: int, size: int, rate: float, weight: float, number: int) -> DataFrame:
+    """The state after one Adam step, the number-th, on n triples (u, p, n)."""
+    out = written(smoothed(a, state.select("node", "vec"), layers, size), "smoothed")
+    three = drawn
+    for c in "upn":
+        three = three.join(out.select(F.col("node").alias(c), F.col("vec").alias(f"v{c}")), c)
+
+    def gradients(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                u, p, q = (np.stack(b[c]) for c in ("vu", "vp", "vn"))
+                g = -1 / (1 + np.exp((u * (p - q)).sum(axis=1, keepdims=True))) / n
+                yield pd.DataFrame({"node": pd.concat([b["u"], b["p"], b["n"]], ignore_index=True), "w": 1.0, "vec": list(np.concatenate([g * (p - q), g * u, -g * u]))})
+
+    outer = written(vector_sums(three.mapInPandas(gradients, "node string, w double, vec array<double>"), size), "gradients")
+    inner = smoothed(a, outer, layers, size)
+    used = drawn.select(F.explode(F.array("u", "p", "n")).alias("node")).groupBy("node").agg((F.count("*") * weight / n).alias("decay"))
+    zero = F.array(*(F.lit(0.0) for _ in range(size)))
+    both = state.join(inner.withColumnRenamed("vec", "g"), "node", "left").join(used, "node", "left")
+    g = F.zip_with(F.coalesce("g", zero), "vec", lambda x, e: x + e * F.coalesce("decay", F.lit(0.0)))
+    both = both.withColumn("g", g).withColumn("m", F.zip_with("m", "g", lambda m, x: BETA1 * m + (1 - BETA1) * x)).withColumn("v", F.zip_with("v", "g", lambda v, x: BETA2 * v + (1 - BETA2) * x * x))
+    step = F.zip_with("m", "v", _adam(rate, 1 - BETA1**number, 1 - BETA2**number))
+    return both.select("node", F.zip_with("vec", step, lambda x, s: x - s).alias("vec"), "m", "v")
+
+
 def factors_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """User and item factors for ranking."""
     side = lambda c, key: vectors.where(F.col("node").startswith(c)).select(F.substring("node", 2, 30).cast("long").alias(key), "vec")

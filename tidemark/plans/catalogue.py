@@ -544,7 +544,7 @@ def cofactor_fit_scores(spark, sf_dir):
 def lightgcn_scores(spark, sf_dir):
     """Scores are sigmoids in single precision, whose ties fall back to the item's order."""
     y, users, goal = _ranks(spark, sf_dir)
-    p, q = lightgcn.factors_of(lightgcn.fit(y, size=8, layers=2, epochs=2))
+    p, q = lightgcn.factors_of(lightgcn.fit(y, size=32, layers=2, epochs=30))
     top = factors.top_factors(p.join(users.select("userid"), "userid", "left_semi"), q, feedback.seen(y), 10)
     return top.select("userid", "itemid", F.round((1 / (1 + F.exp(-F.col("score")))).cast("float"), 6).alias("score"), "rank")
 

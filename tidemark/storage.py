@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,8 +19,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_passing: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[list[str]]:
+    """The folders that written() makes inside; those still in the list at the end are deleted."""
+    made: list[str] = []
+    _passing.append(made)
+    try:
+        yield made
+    finally:
+        _passing.pop()
+        for path in made:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table, computed once."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _passing:
+        _passing[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
