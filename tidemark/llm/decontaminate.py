@@ -133,9 +133,8 @@ def _scan(bench):
             base = first[np.searchsorted(first, start, "right") - 1]
             rows = np.arange(batch.num_rows + 1)
             spans = pa.StructArray.from_arrays([pa.array((start - base).astype(np.int32)), pa.array((end - base).astype(np.int32))], fields=list(span))
-            ids = own.item_ids[item]
-            order = np.lexsort((ids, row))
-            out = [batch.column(0), batch.column(2), pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(np.searchsorted(start, first), pa.int32()), spans), lists(ids[order], np.searchsorted(row[order], rows), pa.int64())]
+            row, ids = np.unique(np.stack([row, own.item_ids[item]], axis=1), axis=0).T  # an id of several items counts once
+            out = [batch.column(0), batch.column(2), pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(np.searchsorted(start, first), pa.int32()), spans), lists(ids, np.searchsorted(row, rows), pa.int64())]
             yield pa.RecordBatch.from_arrays(out, names=["_key", "_same", "n_words", "spans", "items"])
 
     return scan
