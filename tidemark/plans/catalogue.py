@@ -527,17 +527,17 @@ def _fitted(spark, sf_dir, fit):
 
 @query()
 def wmf_fit_scores(spark, sf_dir):
-    return _fitted(spark, sf_dir, lambda y: factors.fit_wmf(y, sweeps=3))
+    return _fitted(spark, sf_dir, lambda y: factors.fit_wmf(y, sweeps=10))
 
 
 @query()
 def signal_wmf_fit_scores(spark, sf_dir):
-    return _fitted(spark, sf_dir, lambda y: factors.fit_wmf(y, sweeps=3, signal=rules.full_signal(y), gamma=0.5))
+    return _fitted(spark, sf_dir, lambda y: factors.fit_wmf(y, sweeps=10, signal=rules.full_signal(y), gamma=0.5))
 
 
 @query()
 def cofactor_fit_scores(spark, sf_dir):
-    return _fitted(spark, sf_dir, lambda y: factors.fit_cofactor(y, sweeps=2))
+    return _fitted(spark, sf_dir, lambda y: factors.fit_cofactor(y, sweeps=10))
 
 
 @query()
@@ -575,19 +575,35 @@ def hyperparam_samples(spark, sf_dir):
     return sample_table(spark, 20)
 
 
+def fit_model(y, model, settings):
+    """User and item factors of a model at the settings that the search drew."""
+    x = settings
+    if model == "lightgcn":
+        return lightgcn.factors_of(lightgcn.fit(y, x["latent"], x["n_layers"], x["learning_rate"], x["lambda_rate"], x["epochs"], x["random_state"], batch_size=x["batch_size"]))
+    common = {"size": x["latent"], "rate": x["lambda_rate"], "alpha": x["alpha"], "sweeps": x["n_sweeps"], "seed": x["random_state"]}
+    if model == "cofactor":
+        return factors.fit_cofactor(y, gamma=x["gamma"], context_rate=x["lambda_context_rate"], negatives=x["negative_samples"], **common)
+    if model == "signal_wmf":
+        signal = rules.full_signal(y, x["normalize"], x["k_user"], x["k_item"], x["min_support"], x["min_confidence"], x["min_lift"], x["random_state"])
+        return factors.fit_wmf(y, signal=signal, gamma=x["gamma"], **common)
+    if model != "wmf":
+        raise ValueError(model)
+    return factors.fit_wmf(y, **common)
+
+
 @query()
 def wmf_search(spark, sf_dir):
-    """Two rounds of plain factorisation on the validation window, at fewer sweeps than the grid's."""
+    """Ten rounds of all models that are fitted, each at all its drawn settings, on the validation window."""
     y, target = split.fit_and_eval(*split.stage(_split(spark, sf_dir), final=False))
     users, goal = ranking.eligible(y, target)
     sizes = ranking.list_sizes(users.select("userid"), y, feedback.seen(y))
 
     def score(model, settings):
-        p, q = factors.fit_wmf(y, settings["latent"], settings["lambda_rate"], settings["alpha"], 1, settings["random_state"])
+        p, q = fit_model(y, model, settings)
         top = factors.top_factors(p.join(users.select("userid"), "userid", "left_semi"), q, feedback.seen(y), 10)
         return ranking.ndcg(top, users, goal, sizes, (10,)).where("grp = 'all'").first().ndcg
 
-    return random_search(spark, "sparse", score, ("wmf",), rounds=2)
+    return random_search(spark, "whole", score, ("wmf", "signal_wmf", "cofactor", "lightgcn"), rounds=10)
 
 
 # ---- reports, on literal results
