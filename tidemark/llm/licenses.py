@@ -73,9 +73,12 @@ def fuzzy(text: str) -> list[tuple[int, int, str, int]]:
     out = set()
     for notice, mine in windows.items():
         for low, high in mine:
-            while match := verifiers()[notice].search(text, low, min(high, len(text))):
-                out.add((match.start(), match.end(), NOTICES[notice], sum(match.fuzzy_counts)))
-                low = max(match.end(), low + 1)
+            asked = [(low, min(high, len(text)))]
+            while asked:  # the best match comes first: weaker ones may stand on both sides of it
+                low, high = asked.pop()
+                if match := verifiers()[notice].search(text, low, high):
+                    out.add((match.start(), match.end(), NOTICES[notice], sum(match.fuzzy_counts)))
+                    asked += [(low, match.start()), (match.end(), high)]
     return sorted(out)
 
 
