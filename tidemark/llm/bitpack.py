@@ -126,7 +126,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end: int, key: str =
 
         size = 0
         for batch in pieces(batches, "t"):
-            ids, ends = with_end(*own.encode(batch.column(1).to_pylist()), end)
+            ids, ends = with_end(*own.encode(batch.column(1)), end)
             keys = batch.column(0)
             held.append((ids, np.diff(ends), keys.fill_null(0).to_numpy(), keys.is_valid().to_numpy(zero_copy_only=False)))
             size += len(ids)

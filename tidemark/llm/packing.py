@@ -70,7 +70,7 @@ def _encoded(tokenizer: str, end: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         for batch in pieces(batches, "t"):
-            ids, ends = with_end(*own.encode(batch.column(1).to_pylist()), end)
+            ids, ends = with_end(*own.encode(batch.column(1)), end)
             tie = mixed(batch.column(0).fill_null(-1).to_numpy().astype(np.uint64)) >> np.uint64(64 - TIE_BITS)
             key = (curve_keys(ids, ends) << TIE_BITS) | tie.astype(np.int64)
             # ids of small vocabularies take two bytes
