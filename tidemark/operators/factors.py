@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,37 +14,51 @@ from ..storage import written
 from .cooccurrence import counts, sppmi
 from .feedback import LIKED, liked
 
-#: Rows whose equations are solved at once, items whose factors are broadcast at once.
-_SOLVE, ITEM_BLOCK = 2048, 1 << 16
+if TYPE_CHECKING:
+    from .rules import Signal
+
+#: Users and items whose scores a task computes at a time.
+USER_BLOCK, ITEM_BLOCK = 4096, 1 << 14
 #: What is added to the seed for items and for contexts.
 ITEM_STREAM, CONTEXT_STREAM = 104_729, 209_759
 
 
+def vectors_of(column: pa.Array) -> np.ndarray:
+    """A list column of equal lengths as rows."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def lists_of(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * (rows.shape[1] if rows.ndim > 1 else 0), pa.int32()), pa.array(rows.ravel(), pa.float64()))
+
+
 def initial(keys: DataFrame, key: str, size: int, seed: int) -> DataFrame:
     """(key, vec): normal factors of deviation 0.01, each row's drawn from its own key, so that partitions do not matter."""
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({key: b[key], "vec": [np.random.default_rng([seed, abs(int(k))]).normal(0, 0.01, size) for k in b[key]]})
+            rows = [np.random.default_rng([seed, abs(k)]).normal(0, 0.01, size) for k in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), lists_of(np.array(rows).reshape(-1, size))], names=[key, "vec"])
 
-    return keys.select(F.col(key).cast("long").alias(key)).distinct().mapInPandas(draw, f"{key} long, vec array<double>")
+    return keys.select(F.col(key).cast("long").alias(key)).distinct().mapInArrow(draw, f"{key} long, vec array<double>")
 
 
 def gram(vectors: DataFrame, vec: str = "vec") -> np.ndarray:
-    """The sum of v v' over all rows: each task adds its own, the driver gets one small matrix a task."""
+    """The sum of v v' over all rows: tasks add their own, Spark adds the cells of these, the driver gets one small matrix."""
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
-            if len(b):
-                m = np.stack(b["v"])
+            if b.num_rows:
+                m = vectors_of(b.column(0))
                 total = m.T @ m + (0 if total is None else total)
         if total is not None:
-            yield pd.DataFrame({"g": [total.ravel()]})
+            yield pa.RecordBatch.from_arrays([lists_of(total.reshape(1, -1))], names=["g"])
 
-    parts = [np.array(r.g) for r in vectors.select(F.col(vec).cast("array<double>").alias("v")).mapInPandas(partial, "g array<double>").collect()]
-    total = sum(parts)
-    return total.reshape(int(np.sqrt(len(total))), -1)
+    cells = vectors.select(F.col(vec).cast("array<double>").alias("v")).mapInArrow(partial, "g array<double>").select(F.posexplode("g"))
+    found = np.array([r.g for r in cells.groupBy("pos").agg(F.sum("col").alias("g")).orderBy("pos").collect()])
+    return found.reshape(int(np.sqrt(len(found))), -1) if len(found) else np.zeros((0, 0))
 
 
 def _sums(keys: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,65 +68,170 @@ def _sums(keys: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[at], np.add.reduceat(both, at, axis=0)
 
 
-def least_squares(parts: DataFrame, size: int, base: np.ndarray) -> DataFrame:
+def least_squares(parts: DataFrame, size: int, base: np.ndarray, sums: DataFrame | None = None) -> DataFrame:
     """(row, vec) solving (base + sum w v v') x = sum r v over the parts (row, w, r, vec) of each row.
 
-    Tasks add their parts of a row before the shuffle, so a row of any length reaches its solver as one record a task.
+    sums (row, s) are such totals made elsewhere, as equation_sums() gives them.
     """
+    return _equations(parts, size, base, sums)
+
+
+def equation_sums(parts: DataFrame, size: int) -> DataFrame:
+    """(row, s): the size * size cells of sum w v v', then sum r v, over the parts (row, w, r, vec) of each row."""
+    return _equations(parts, size, None, None)
+
+
+def _equations(parts: DataFrame, size: int, base: np.ndarray | None, sums: DataFrame | None) -> DataFrame:
+    """A row with many parts in a task is added up there before the shuffle, so no row brings more than about size records a
+    task to its solver; the parts of other rows, shorter than a total, go as they are."""
     width = size * size + size
+    step = max(64, (1 << 22) // width)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), 4096):
-                c = b.iloc[at : at + 4096]
-                v = np.stack(c["vec"])
-                outer = (v[:, :, None] * v[:, None, :]).reshape(len(v), -1) * c["w"].to_numpy()[:, None]
-                keys, sums = _sums(c["row"].to_numpy(), np.concatenate([outer, v * c["r"].to_numpy()[:, None]], axis=1))
-                yield pd.DataFrame({"row": keys, "s": list(sums)})
-
-    def solve(keys: np.ndarray, sums: np.ndarray) -> pd.DataFrame:
-        left = sums[:, : size * size].reshape(-1, size, size) + base
-        return pd.DataFrame({"row": keys, "vec": list(np.linalg.solve(left, sums[:, size * size :, None])[:, :, 0])})
-
-    def final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, sums = np.zeros(0, np.int64), np.zeros((0, width))
+    def totals(w: np.ndarray, r: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return np.concatenate([(v[:, :, None] * v[:, None, :]).reshape(len(v), -1) * w[:, None], v * r[:, None]], axis=1)
+
+    def record(rows: np.ndarray, w: np.ndarray, r: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(w, pa.float64()), pa.array(r, pa.float64()), lists_of(v)], names=["row", "w", "r", "vec"])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                keys, sums = _sums(np.concatenate([keys, b["row"].to_numpy()]), np.concatenate([sums, np.stack(b["s"])]))
-                if len(keys) > _SOLVE:  # rows come in order: all but the last are complete
-                    yield solve(keys[:-1], sums[:-1])
-                    keys, sums = keys[-1:], sums[-1:]
+            if not b.num_rows:
+                continue
+            rows, w, r = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            v = vectors_of(b.column(3))
+            _, which, count = np.unique(rows, return_inverse=True, return_counts=True)
+            many = np.flatnonzero(count[which] > size)
+            one = np.flatnonzero(count[which] <= size)
+            if len(one):
+                yield record(rows[one], w[one], r[one], v[one])
+            many = many[np.argsort(rows[many], kind="stable")]
+            for at in range(0, len(many), step):
+                some = many[at : at + step]
+                keys, added = _sums(rows[some], totals(w[some], r[some], v[some]))
+                yield record(keys, np.zeros(len(keys)), np.zeros(len(keys)), added)
+
+    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solved(keys: np.ndarray, added: np.ndarray) -> pa.RecordBatch:
+            if base is None:
+                return pa.RecordBatch.from_arrays([pa.array(keys), lists_of(added)], names=["row", "s"])
+            left = added[:, : size * size].reshape(-1, size, size) + base
+            return pa.RecordBatch.from_arrays([pa.array(keys), lists_of(np.linalg.solve(left, added[:, size * size :, None])[:, :, 0])], names=["row", "vec"])
+
+        keys, held = np.zeros(0, np.int64), np.zeros((0, width))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
+                rows, w, r = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                lengths = np.diff(b.column(3).offsets.to_numpy())
+                flat = b.column(3).flatten().to_numpy(zero_copy_only=False)
+                ends = np.append(0, np.cumsum(lengths))
+                plain = lengths == size
+                got = np.zeros((len(rows), width))
+                at_plain, at_sum = (ends[:-1][m][:, None] + np.arange(n) for m, n in ((plain, size), (~plain, width)))
+                got[plain] = totals(w[plain], r[plain], flat[at_plain])
+                got[~plain] = flat[at_sum]
+                keys, held = _sums(np.concatenate([keys, rows]), np.concatenate([held, got]))
+                if len(keys) > step:  # rows come in order: all but the last are complete
+                    yield solved(keys[:-1], held[:-1])
+                    keys, held = keys[-1:], held[-1:]
         if len(keys):
-            yield solve(keys, sums)
+            yield solved(keys, held)
 
-    added = parts.select(F.col("row").cast("long"), F.col("w").cast("double"), F.col("r").cast("double"), "vec").mapInPandas(partial, "row long, s array<double>")
-    return added.repartition("row").sortWithinPartitions("row").mapInPandas(final, "row long, vec array<double>")
+    kind = "row long, w double, r double, vec array<double>"
+    added = parts.select(F.col("row").cast("long").alias("row"), F.col("w").cast("double").alias("w"), F.col("r").cast("double").alias("r"), "vec").mapInArrow(partial, kind)
+    if sums is not None:
+        added = added.unionByName(sums.select("row", F.lit(0.0).alias("w"), F.lit(0.0).alias("r"), F.col("s").alias("vec")))
+    return added.repartition("row").sortWithinPartitions("row").mapInArrow(final, f"row long, {'s' if base is None else 'vec'} array<double>")
 
 
 def _parts(cells: DataFrame, row: str, col: str, fixed: DataFrame, w: Column, r: Column) -> DataFrame:
     return cells.join(fixed.withColumnRenamed(fixed.columns[0], col), col).select(F.col(row).alias("row"), w.alias("w"), r.alias("r"), "vec")
 
 
-def _filled(found: DataFrame, keys: DataFrame, key: str, size: int) -> DataFrame:
-    """Factors of all keys; rows without any cell are zero."""
-    zero = F.array(*(F.lit(0.0) for _ in range(size)))
-    return keys.join(found.withColumnRenamed("row", key), key, "left").select(key, F.coalesce("vec", zero).alias("vec"))
+def _every(keys: DataFrame, key: str, size: int) -> DataFrame:
+    """Empty parts of all keys: rows without any other get zero factors."""
+    return keys.select(F.col(key).alias("row"), F.lit(0.0).alias("w"), F.lit(0.0).alias("r"), F.array(*(F.lit(0.0) for _ in range(size))).alias("vec"))
+
+
+def _half(parts: DataFrame, keys: DataFrame, key: str, size: int, base: np.ndarray, sums: DataFrame | None = None) -> DataFrame:
+    """(key, vec) of all keys, as a table."""
+    found = least_squares(parts.unionByName(_every(keys, key, size)), size, base, sums)
+    return written(found.withColumnRenamed("row", key), "factors")
+
+
+def report_due(sweep: int, every: int | None) -> bool:
+    """Whether losses are reported after this sweep, counted from 1: after the first and every so many."""
+    return every is not None and (sweep == 1 or sweep % every == 0)
+
 
+def checked_schedule(sweeps: int, every: int | None) -> None:
+    for name, value in (("sweeps", sweeps), ("report_every", every)):
+        if value is not None and (isinstance(value, bool) or not isinstance(value, int) or value <= 0):
+            raise ValueError(f"{name} must be a positive whole number")
 
-def fit_wmf(y: DataFrame, size: int = 8, rate: float = 0.1, alpha: float = 10.0, sweeps: int = 10, seed: int = 42, threshold: float = LIKED, signal: DataFrame | None = None, gamma: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """User and item factors. Liked cells weigh 1 + alpha with target 1, all others 1 with target 0; a signal (userid, itemid, s)
-    adds its cells with weight gamma and target s. A sweep is two shuffles of the liked (and signal) cells."""
+
+def squares(*tables: DataFrame) -> float:
+    """The sum of all squared cells of factor tables."""
+    return float(sum((t.agg(F.sum(dot("vec", "vec"))).first()[0] or 0.0) for t in tables))
+
+
+def _signal_sums(signal: Signal, base: DataFrame, key: str, fixed: DataFrame, size: int, gamma: float) -> DataFrame:
+    """What the shared part of a signal adds to the equations of users or items (key): all cells of profiles as if none were
+    blocked, from one total a profile."""
+    square = size * size
+    weighed = lambda by: F.transform("s_all", lambda x, i: F.when(i < square, gamma * x).otherwise(gamma * by * x)).alias("s")
+    if key == "userid":
+        parts = base.join(fixed, "itemid").select(F.col("profile").alias("row"), F.lit(1.0).alias("w"), F.col("s").alias("r"), "vec")
+        totals = equation_sums(parts, size).select(F.col("row").alias("profile"), F.col("s").alias("s_all"))
+        return signal.users.join(F.broadcast(totals), "profile").select(F.col("userid").alias("row"), weighed(F.col("scale")))
+    parts = signal.users.join(fixed, "userid").select(F.col("profile").alias("row"), F.lit(1.0).alias("w"), F.col("scale").alias("r"), "vec")
+    totals = equation_sums(parts, size).select(F.col("row").alias("profile"), F.col("s").alias("s_all"))
+    return base.join(F.broadcast(totals), "profile").select(F.col("itemid").alias("row"), weighed(F.col("s")))
+
+
+def fit_wmf(y: DataFrame, size: int = 8, rate: float = 0.1, alpha: float = 10.0, sweeps: int = 10, seed: int = 42, threshold: float = LIKED, signal: Signal | None = None, gamma: float = 0.0, fit_users: DataFrame | None = None, report_every: int | None = None, report: Callable[[dict], None] | None = None) -> tuple[DataFrame, DataFrame]:
+    """User and item factors. Liked cells weigh 1 + alpha with target 1, all others 1 with target 0; a signal adds its cells with
+    weight gamma and their value as target. A sweep is two shuffles of the liked cells and of the signal's own cells; what
+    users share of the signal is added profile by profile.
+
+    With fit_users (userid) only these move the items' factors; the other users of y are then folded in, items staying as
+    they are. report gets the losses over the fitting users after the first sweep and every report_every.
+    """
+    checked_schedule(sweeps, report_every)
     likes = written(liked(y, threshold), "likes")
     users, items = (written(y.select(F.col(c).cast("long").alias(c)).distinct(), c) for c in ("userid", "itemid"))
-    p, q = initial(users, "userid", size, seed), written(initial(items, "itemid", size, seed + ITEM_STREAM), "factors")
-    for _ in range(sweeps):
-        for row, col, keys in (("userid", "itemid", users), ("itemid", "userid", items)):
-            fixed = q if row == "userid" else p
-            parts = _parts(likes, row, col, fixed, F.lit(alpha), F.lit(1 + alpha))
-            if signal is not None and gamma > 0:
-                parts = parts.unionByName(_parts(signal, row, col, fixed, F.lit(gamma), gamma * F.col("s")))
-            found = written(_filled(least_squares(parts, size, gram(fixed) + rate * np.eye(size)), keys, row, size), "factors")
-            p, q = (found, q) if row == "userid" else (p, found)
+    signal = signal if gamma > 0 else None
+    delta = written(signal.delta(), "delta") if signal is not None else None
+    own = users
+    if fit_users is not None:
+        own = written(users.join(fit_users.select("userid"), "userid", "left_semi"), "fit-users")
+        if own.isEmpty():
+            raise ValueError("fit_users must hold a user of y")
+    only = lambda df, who: df if who is None else df.join(who, "userid", "left_semi")
+    chosen = own if fit_users is not None else None
+    q = written(initial(items, "itemid", size, seed + ITEM_STREAM), "factors")
+    p = q
+
+    def half(key: str, keys: DataFrame, fixed: DataFrame, who: DataFrame | None) -> DataFrame:
+        other = "itemid" if key == "userid" else "userid"
+        parts, sums = _parts(only(likes, who), key, other, fixed, F.lit(alpha), F.lit(1 + alpha)), None
+        if signal is not None:
+            parts = parts.unionByName(_parts(only(delta, who), key, other, fixed, gamma * F.col("w"), gamma * F.col("r")))
+            some = signal if who is None else signal.of(who)
+            sums = _signal_sums(some, signal.base, key, fixed, size, gamma)
+            if key == "itemid":
+                sums = sums.join(items.select(F.col("itemid").alias("row")), "row", "left_semi")
+        return _half(parts, keys, key, size, gram(fixed) + rate * np.eye(size), sums)
+
+    for sweep in range(1, sweeps + 1):
+        p = half("userid", own, q, chosen)
+        q = half("itemid", items, p, chosen)
+        if report is not None and report_due(sweep, report_every):
+            loss = {"sweep": sweep, "wmf": wmf_loss(only(likes, chosen), p, q, alpha), "signal": signal_loss(signal if chosen is None else signal.of(chosen), p, q, gamma) if signal is not None else 0.0, "l2": squares(p, q)}
+            report(loss | {"total": loss["wmf"] + loss["signal"] + rate * loss["l2"]})
+    if fit_users is not None:
+        rest = users.join(own, "userid", "left_anti")
+        p = p.unionByName(half("userid", rest, q, rest))
     return p, q
 
 
@@ -139,9 +259,10 @@ def global_bias(cells: DataFrame, b: DataFrame, d: DataFrame) -> float:
     return left.agg(F.avg(F.col("value") - F.col("score") - F.coalesce("_b", F.lit(0.0)) - F.coalesce("_d", F.lit(0.0)))).first()[0] or 0.0
 
 
-def fit_cofactor(y: DataFrame, size: int = 8, rate: float = 0.1, alpha: float = 10.0, gamma: float = 1.0, context_rate: float | None = None, negatives: float = 1.0, sweeps: int = 10, seed: int = 42, threshold: float = LIKED) -> tuple[DataFrame, DataFrame]:
+def fit_cofactor(y: DataFrame, size: int = 8, rate: float = 0.1, alpha: float = 10.0, gamma: float = 1.0, context_rate: float | None = None, negatives: float = 1.0, sweeps: int = 10, seed: int = 42, threshold: float = LIKED, report_every: int | None = None, report: Callable[[dict], None] | None = None) -> tuple[DataFrame, DataFrame]:
     """As fit_wmf(), item factors also reproducing shifted PMI with context factors and biases; updates in the order users,
     items, contexts, item biases, context biases, global bias, each from the latest values."""
+    checked_schedule(sweeps, report_every)
     likes = written(liked(y, threshold), "likes")
     users, items = (written(y.select(F.col(c).cast("long").alias(c)).distinct(), c) for c in ("userid", "itemid"))
     m = written(sppmi(counts(likes), negatives), "sppmi")
@@ -150,19 +271,28 @@ def fit_cofactor(y: DataFrame, size: int = 8, rate: float = 0.1, alpha: float =
     b, d, g = zero.withColumnRenamed("itemid", "i"), zero.withColumnRenamed("itemid", "j"), 0.0
     eye = np.eye(size)
     p = q
-    for _ in range(sweeps):
-        p = written(_filled(least_squares(_parts(likes, "userid", "itemid", q, F.lit(alpha), F.lit(1 + alpha)), size, gram(q) + rate * eye), users, "userid", size), "factors")
+    for sweep in range(1, sweeps + 1):
+        p = _half(_parts(likes, "userid", "itemid", q, F.lit(alpha), F.lit(1 + alpha)), users, "userid", size, gram(q) + rate * eye)
         biased = m.join(b.withColumnRenamed("bias", "_b"), "i", "left").join(d.withColumnRenamed("bias", "_d"), "j", "left").select("i", "j", (F.col("value") - F.coalesce("_b", F.lit(0.0)) - F.coalesce("_d", F.lit(0.0)) - g).alias("t"))
         parts = _parts(likes, "itemid", "userid", p, F.lit(alpha), F.lit(1 + alpha)).unionByName(_parts(biased, "i", "j", z, F.lit(gamma), gamma * F.col("t")))
-        q = written(_filled(least_squares(parts, size, gram(p) + rate * eye), items, "itemid", size), "factors")
-        z = written(_filled(least_squares(_parts(biased, "j", "i", q, F.lit(gamma), gamma * F.col("t")), size, (gamma * rate if context_rate is None else context_rate) * eye), items, "itemid", size), "factors")
+        q = _half(parts, items, "itemid", size, gram(p) + rate * eye)
+        z = _half(_parts(biased, "j", "i", q, F.lit(gamma), gamma * F.col("t")), items, "itemid", size, (gamma * rate if context_rate is None else context_rate) * eye)
         cells = written(residuals(m, q, z), "residuals")
         b = written(item_bias(cells, d, g, "i", "j"), "bias")
         d = written(item_bias(cells, b, g, "j", "i"), "bias")
         g = global_bias(cells, b, d)
+        if report is not None and report_due(sweep, report_every):
+            report({"sweep": sweep, "wmf": wmf_loss(likes, p, q, alpha), "cooccurrence": cooccurrence_loss(cells, b, d, g, gamma), "l2": squares(p, q), "context_l2": squares(z)})
     return p, q
 
 
+def cooccurrence_loss(cells: DataFrame, b: DataFrame, d: DataFrame, g: float, gamma: float) -> float:
+    """gamma times the squared errors of the co-occurrence cells (i, j, value, score), biases included."""
+    left = cells.join(b.select("i", F.col("bias").alias("_b")), "i", "left").join(d.select("j", F.col("bias").alias("_d")), "j", "left")
+    error = F.col("value") - F.col("score") - F.coalesce("_b", F.lit(0.0)) - F.coalesce("_d", F.lit(0.0)) - g
+    return gamma * float(left.agg(F.sum(error * error)).first()[0] or 0.0)
+
+
 def wmf_loss(likes: DataFrame, p: DataFrame, q: DataFrame, alpha: float) -> float:
     """The weighted squared error over all cells: the Gram product for targets 0, corrected at the liked cells."""
     cells = likes.join(p.withColumnRenamed("vec", "_p"), "userid").join(q.withColumnRenamed("vec", "_q"), "itemid").select(dot("_p", "_q").alias("s"))
@@ -170,44 +300,116 @@ def wmf_loss(likes: DataFrame, p: DataFrame, q: DataFrame, alpha: float) -> floa
     return float((gram(p) * gram(q)).sum() + liked_part)
 
 
+def signal_loss(signal: Signal, p: DataFrame, q: DataFrame, gamma: float) -> float:
+    """gamma times the squared errors over the cells of a signal: over all cells of profiles from one total a profile, corrected
+    at each user's own cells and at those that are blocked."""
+    size = len((q.first() or {"vec": []})["vec"])
+    parts = signal.base.join(q, "itemid").select(F.col("profile").alias("row"), F.lit(1.0).alias("w"), F.col("s").alias("r"), "vec")
+    sums = equation_sums(parts, size).withColumnRenamed("row", "profile")
+    more = signal.base.groupBy("profile").agg(F.sum(F.col("s") * F.col("s")).alias("ss"))
+
+    def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                v, s = vectors_of(batch.column(0)), vectors_of(batch.column(1))
+                scale, ss = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+                left = s[:, : size * size].reshape(-1, size, size)
+                loss = scale * scale * ss - 2 * scale * (v * s[:, size * size :]).sum(axis=1) + np.einsum("ni,nij,nj->n", v, left, v)
+                yield pa.RecordBatch.from_arrays([pa.array([loss.sum()])], names=["loss"])
+
+    shared = signal.users.join(p, "userid").join(F.broadcast(sums), "profile").join(F.broadcast(more), "profile").select("vec", "s", "scale", "ss").mapInArrow(errors, "loss double")
+    d = signal.corrections().join(p.withColumnRenamed("vec", "_p"), "userid").join(q.withColumnRenamed("vec", "_q"), "itemid").withColumn("x", dot("_p", "_q"))
+    squared = lambda c: (F.col(c) - F.col("x")) * (F.col(c) - F.col("x"))
+    rest = d.agg(F.sum(F.coalesce(squared("own"), F.lit(0.0)) - F.coalesce(squared("shared"), F.lit(0.0)))).first()[0] or 0.0
+    return gamma * float((shared.agg(F.sum("loss")).first()[0] or 0.0) + rest)
+
+
 def top_factors(p: DataFrame, q: DataFrame, seen: DataFrame, k: int) -> DataFrame:
     """(userid, itemid, score, rank): each user's k best unseen items by inner product, ties to smaller ids.
 
-    Item factors go out in blocks of bounded size; a block's pass keeps k items a user, the passes meet in a last ranking.
+    Users are dealt to groups of about USER_BLOCK, items to blocks of about ITEM_BLOCK. Every group reads the users, then block
+    by block what they have seen there and the items, all in order from one shuffle, and holds the k best so far: memory is
+    bounded by the two blocks, and nothing goes through the driver but two counts.
     """
-    from .ranking import _numbered
-
-    hidden = p.join(seen.groupBy("userid").agg(F.collect_list("itemid").alias("hidden")), "userid", "left")
-    spark, out, held = p.sparkSession, None, []
-
-    def add(rows: list) -> None:
-        nonlocal out
-        rows.sort(key=lambda r: r.itemid)
-        shared = spark.sparkContext.broadcast((np.array([r.itemid for r in rows], np.int64), np.array([r.vec for r in rows])))
-
-        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, vectors = shared.value
-            for batch in batches:
-                for at in range(0, len(batch), 256):
-                    c = batch.iloc[at : at + 256]
-                    scores = np.stack(c["vec"]) @ vectors.T
-                    for n, (user, gone) in enumerate(zip(c["userid"], c["hidden"], strict=True)):
-                        s = scores[n]
-                        if gone is not None:
-                            s = np.where(np.isin(ids, gone), -np.inf, s)
-                        cut = np.partition(s, -k)[-k] if len(s) > k else -np.inf
-                        some = np.flatnonzero((s >= cut) & (s > -np.inf))
-                        some = some[np.lexsort((some, -s[some]))][:k]
-                        yield pd.DataFrame({"userid": user, "itemid": ids[some], "score": s[some]})
-
-        found = hidden.mapInPandas(best, "userid long, itemid long, score double")
-        out = found if out is None else out.unionAll(found)
-
-    for r in q.toLocalIterator():
-        held.append(r)
-        if len(held) == ITEM_BLOCK:
-            add(held)
-            held = []
-    if held or out is None:
-        add(held)
-    return _numbered(out, k)
+    spark = p.sparkSession
+    n_users, n_items = p.count(), q.count()
+    groups = max(1, -(-n_users // USER_BLOCK), min(int(spark.conf.get("spark.sql.shuffle.partitions")), n_users))
+    blocks = max(1, -(-n_items // ITEM_BLOCK))
+    group = F.pmod(F.xxhash64("userid"), F.lit(groups)).cast("int").alias("g")
+    block = F.pmod(F.xxhash64("itemid"), F.lit(blocks)).cast("int").alias("b")
+    none = F.array().cast("array<double>").alias("vec")
+    users = p.select(group, F.lit(-1).alias("b"), F.lit(0).alias("kind"), F.col("userid").cast("long").alias("userid"), F.lit(0).cast("long").alias("itemid"), "vec")
+    hidden = seen.join(p.select("userid"), "userid", "left_semi").select(group, block, F.lit(1).alias("kind"), F.col("userid").cast("long").alias("userid"), F.col("itemid").cast("long").alias("itemid"), none)
+    items = q.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), block, F.lit(2).alias("kind"), F.lit(0).cast("long").alias("userid"), F.col("itemid").cast("long").alias("itemid"), "vec")
+    rows = users.unionByName(hidden).unionByName(items).repartition(groups, "g").sortWithinPartitions("g", "b", "kind", "userid", "itemid")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, factors_, kept = np.zeros(0, np.int64), np.zeros((0, 0)), [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        held: dict[int, list] = {0: [], 1: [], 2: []}
+
+        def joined(kind: int) -> tuple[np.ndarray, np.ndarray, list]:
+            got = held[kind]
+            return np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got]), [x[2] for x in got]
+
+        def firsts(user: np.ndarray, item: np.ndarray, score: np.ndarray) -> list[np.ndarray]:
+            order = np.lexsort((item, -score, user))
+            user, item, score = user[order], item[order], score[order]
+            start = np.flatnonzero(np.diff(user, prepend=-1))
+            place = np.arange(len(user)) - np.repeat(start, np.diff(start, append=len(user)))
+            return [x[place < k] for x in (user, item, score)]
+
+        def block_done() -> None:
+            nonlocal kept, own, factors_
+            if held[0]:
+                own, _, v = joined(0)
+                factors_ = np.concatenate(v)
+            if held[2] and len(own):
+                _, ids, v = joined(2)
+                v = np.concatenate(v)
+                gone_user, gone_item = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                if held[1]:
+                    asked, item, _ = joined(1)
+                    at = np.minimum(np.searchsorted(ids, item), len(ids) - 1)
+                    known = ids[at] == item  # what is seen but has no factors is no candidate
+                    gone_user, gone_item = np.searchsorted(own, asked[known]), at[known]
+                some = max(1, (1 << 22) // len(ids))
+                for at in range(0, len(own), some):
+                    scores = factors_[at : at + some] @ v.T
+                    here = (gone_user >= at) & (gone_user < at + some)
+                    scores[gone_user[here] - at, gone_item[here]] = -np.inf
+                    cut = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+                    u, i = np.nonzero((scores >= cut[:, None]) & (scores > -np.inf))
+                    kept = [np.concatenate([a, b]) for a, b in zip(kept, firsts(u + at, ids[i], scores[u, i]), strict=True)]
+                kept = firsts(*kept)
+            for rows_ in held.values():
+                rows_.clear()
+
+        def group_done() -> pa.RecordBatch:
+            nonlocal kept
+            block_done()
+            user, item, score = firsts(*kept)
+            start = np.flatnonzero(np.diff(user, prepend=-1))
+            place = np.arange(len(user)) - np.repeat(start, np.diff(start, append=len(user)))
+            kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+            return pa.RecordBatch.from_arrays([pa.array(own[user]), pa.array(item), pa.array(score), pa.array((place + 1).astype(np.int32))], names=["userid", "itemid", "score", "rank"])
+
+        now = None
+        for batch in batches:
+            g, b, kind = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            edges = np.flatnonzero((np.diff(g, prepend=g[:1]) != 0) | (np.diff(b, prepend=b[:1]) != 0) | (np.diff(kind, prepend=kind[:1]) != 0))
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(g)], strict=True):
+                if lo == hi:
+                    continue
+                if now is not None and now != (g[lo], b[lo]):
+                    if now[0] != g[lo]:
+                        yield group_done()
+                        own = np.zeros(0, np.int64)
+                    else:
+                        block_done()
+                now = (g[lo], b[lo])
+                part = batch.slice(lo, hi - lo)
+                held[int(kind[lo])].append((part.column(3).to_numpy(), part.column(4).to_numpy(), vectors_of(part.column(5)) if kind[lo] != 1 else None))
+        if now is not None:
+            yield group_done()
+
+    return rows.mapInArrow(best, "userid long, itemid long, score double, rank int")

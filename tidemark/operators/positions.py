@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import written
+
 
 def before(df: DataFrame, key: str, weight: str | None = None, into: str = "before") -> DataFrame:
     """df with the sum of weight (1 without) over all rows with a smaller key; keys are unique numbers or times.
@@ -25,8 +27,17 @@ def before(df: DataFrame, key: str, weight: str | None = None, into: str = "befo
 
 
 def codes(df: DataFrame, key: str, into: str = "idx") -> DataFrame:
-    """(key, idx): dense numbers of the distinct keys in ascending order. Text keys are numbered in one window."""
+    """(key, idx): dense numbers of the distinct keys in ascending order.
+
+    Text keys are dealt by ranges, sorted and written once: a key's number is the number of keys in the ranges before its own
+    and its place in that.
+    """
     keys = df.select(key).distinct()
-    if dict(keys.dtypes)[key] == "string":
-        return keys.withColumn(into, F.row_number().over(Window.orderBy(key)).cast("long") - 1)
-    return before(keys, key, into=into)
+    if dict(keys.dtypes)[key] != "string":
+        return before(keys, key, into=into)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(keys.repartitionByRange(n, key).sortWithinPartitions(key).withColumn("_id", F.monotonically_increasing_id()), "codes")
+    ranged = placed.withColumn("_range", F.shiftright("_id", 33)).withColumn("_at", F.col("_id") - F.shiftleft("_range", 33))
+    sums = ranged.groupBy("_range").agg(F.count("*").alias("_sum"))
+    base = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    return ranged.join(F.broadcast(base), "_range").select(key, (F.col("_base") + F.col("_at")).cast("long").alias(into))

@@ -17,18 +17,19 @@ def _numbered(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def top_popular(scores: DataFrame, users: DataFrame, seen: DataFrame, k: int) -> DataFrame:
-    """(userid, itemid, score, rank) where all users share the item scores.
+def top_popular(scores: DataFrame, users: DataFrame, seen: DataFrame, k: int, profile: str | None = None) -> DataFrame:
+    """(userid, itemid, score, rank) where all users, or all of one profile, share the item scores.
 
     A user who has seen s items needs the first k + s of the common order alone, so nothing like users x items is made: only
-    the head of the order, as long as the longest of these, is numbered, and users meet it by number.
+    the head of an order, as long as the longest of these, is numbered, and users meet it by number.
     """
+    by = [profile] if profile else []
     counts = users.join(seen.groupBy("userid").agg(F.count("*").alias("s")), "userid", "left").withColumn("need", (F.coalesce("s", F.lit(0)) + k).cast("int"))
     longest = counts.agg(F.max("need")).first()[0] or 0
-    head = scores.orderBy(F.desc("score"), "itemid").limit(longest)
-    order = head.withColumn("at", F.row_number().over(Window.orderBy(F.desc("score"), "itemid")))
-    asked = counts.select("userid", F.explode(F.sequence(F.lit(1), "need")).alias("at"))
-    return _numbered(asked.join(order, "at").join(seen, ["userid", "itemid"], "left_anti").select("userid", "itemid", "score"), k)
+    order = Window.partitionBy(*by).orderBy(F.desc("score"), "itemid")
+    head = scores.withColumn("at", F.row_number().over(order)).where(F.col("at") <= longest)
+    asked = counts.select("userid", *by, F.explode(F.sequence(F.lit(1), "need")).alias("at"))
+    return _numbered(asked.join(head, [*by, "at"]).join(seen, ["userid", "itemid"], "left_anti").select("userid", "itemid", "score"), k)
 
 
 def top_sparse(scores: DataFrame, users: DataFrame, items: DataFrame, seen: DataFrame, k: int) -> DataFrame:

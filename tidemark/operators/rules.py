@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
@@ -11,9 +14,13 @@ from pyspark.sql.window import Window
 from ..storage import written
 from .feedback import LIKED, liked, seen
 from .positions import codes
+from .ranking import top_popular, top_sparse
 
 #: Starts of a clustering, of which the one of least cost counts.
 STARTS = 10
+# The families of rules and the ways to normalise.
+KINDS = ("item", "icl", "ucl")
+NORMALISERS = ("row_max", "log_row_max")
 
 
 def clusters(y: DataFrame, of: str, k: int, seed: int = 42, threshold: float = LIKED) -> DataFrame | None:
@@ -43,7 +50,8 @@ def tokens(y: DataFrame, user_cluster: DataFrame | None = None, item_cluster: Da
     users = seen(y).select("userid").distinct()
     ucl = users.join(user_cluster, "userid") if user_cluster is not None else users.withColumn("cluster", F.lit(0))
     icl = likes.join(item_cluster, "itemid") if item_cluster is not None else likes.withColumn("cluster", F.lit(0))
-    kind = lambda df, name, token: df.select("userid", F.lit(name).alias("kind"), F.col(token).cast("long").alias("token"))
+    of = "string" if dict(y.dtypes)["itemid"] == "string" else "long"
+    kind = lambda df, name, token: df.select("userid", F.lit(name).alias("kind"), F.col(token).cast(of).alias("token"))
     return kind(likes, "item", "itemid").unionByName(kind(ucl, "ucl", "cluster")).unionByName(kind(icl, "icl", "cluster").distinct())
 
 
@@ -76,14 +84,135 @@ def signal(t: DataFrame, found: DataFrame, observed: DataFrame, kinds: tuple[str
 
 def normalised(s: DataFrame, how: str = "row_max") -> DataFrame:
     """The signal over its user's highest, after log1p for log_row_max."""
-    if how not in ("row_max", "log_row_max"):
+    if how not in NORMALISERS:
         raise ValueError(how)
     value = F.log1p("s") if how == "log_row_max" else F.col("s")
     return s.withColumn("s", value).withColumn("s", F.col("s") / F.max("s").over(Window.partitionBy("userid")))
 
 
-def full_signal(y: DataFrame, how: str = "row_max", k_user: int = 1, k_item: int = 1, min_support: float = 0.0, min_confidence: float = 0.0, min_lift: float = 0.0, seed: int = 42) -> DataFrame:
-    """The normalised signal of all three families of rules, as a table: users x items not seen, where nothing is filtered."""
+@dataclass(frozen=True)
+class Signal:
+    """A signal without a row for every user and item: what users with the same clusters share is kept once.
+
+    users (userid, profile, scale), base (profile, itemid, s), cells (userid, itemid, s), seen (userid, itemid). A cell has
+    its value; any other item of the user's profile that is not seen has scale * s; all else has none.
+    """
+
+    users: DataFrame
+    base: DataFrame
+    cells: DataFrame
+    seen: DataFrame
+
+    def of(self, some: DataFrame) -> Signal:
+        """The same for some users (userid) alone."""
+        return Signal(*(df if "profile" in df.columns and "userid" not in df.columns else df.join(some.select("userid"), "userid", "left_semi") for df in (self.users, self.base, self.cells, self.seen)))
+
+    def corrections(self) -> DataFrame:
+        """(userid, itemid, own, shared): the user's own cells with their value and, if the profile has the item too, what they
+        replace; and items of the profile that are seen, without a value of their own."""
+        base = self.base.withColumnRenamed("s", "b")
+        shared = (F.col("scale") * F.col("b")).alias("shared")
+        own = self.cells.join(self.users, "userid", "left").join(base, ["profile", "itemid"], "left").select("userid", "itemid", F.col("s").alias("own"), shared)
+        gone = self.seen.join(self.users, "userid").join(base, ["profile", "itemid"]).select("userid", "itemid", F.lit(None).cast("double").alias("own"), shared)
+        return own.unionByName(gone)
+
+    def delta(self) -> DataFrame:
+        """(userid, itemid, w, r): the weight and the value that corrections() add to what the profile gives."""
+        one = lambda c: F.col(c).isNotNull().cast("double")
+        return self.corrections().select("userid", "itemid", (one("own") - one("shared")).alias("w"), (F.coalesce("own", F.lit(0.0)) - F.coalesce("shared", F.lit(0.0))).alias("r"))
+
+    def shared_top(self, k: int, by: str = "s") -> DataFrame:
+        """(userid, itemid, score): the k best of each user's profile that are not seen, own cells or not, by value or by item."""
+        scores = self.base.select("profile", "itemid", F.col(by).alias("score"))
+        return top_popular(scores, self.users.select("userid", "profile"), self.seen, k, "profile").select("userid", "itemid", "score")
+
+    def digest(self) -> DataFrame:
+        """(userid, n, total, top, last_item) of each user with a signal."""
+        some = self.base.groupBy("profile").agg(F.count("*").alias("n_base"), F.sum("s").alias("total_base"))
+        first = self.shared_top(1).select("userid", F.col("score").alias("top_base"))
+        last = self.shared_top(1, "itemid").select("userid", F.col("itemid").alias("last_base"))
+        own = self.corrections().groupBy("userid").agg(F.sum(F.col("own").isNotNull().cast("long") - F.col("shared").isNotNull().cast("long")).alias("n_more"), F.sum(F.coalesce("own", F.lit(0.0)) - F.coalesce("shared", F.lit(0.0))).alias("more"), F.max("own").alias("top_own"), F.max(F.when(F.col("own").isNotNull(), F.col("itemid"))).alias("last_own"))
+        zero = F.lit(0)
+        rows = self.users.join(F.broadcast(some), "profile", "left").drop("profile").join(own, "userid", "full").join(first, "userid", "left").join(last, "userid", "left")
+        n = (F.coalesce("n_base", zero) + F.coalesce("n_more", zero)).cast("long")
+        total = F.coalesce(F.col("scale") * F.col("total_base"), F.lit(0.0)) + F.coalesce("more", F.lit(0.0))
+        return rows.where(n > 0).select("userid", n.alias("n"), total.alias("total"), F.greatest(F.col("scale") * F.col("top_base"), "top_own").alias("top"), F.greatest("last_base", "last_own").alias("last_item"))
+
+    def normalised(self, how: str = "row_max") -> Signal:
+        """Over each user's highest value, after log1p for log_row_max."""
+        if how not in NORMALISERS:
+            raise ValueError(how)
+        value = F.log1p("s") if how == "log_row_max" else F.col("s")
+        raw = Signal(self.users, *(df.withColumn("s", value) for df in (self.base, self.cells)), self.seen)
+        own = raw.cells.groupBy("userid").agg(F.max("s").alias("top_own"))
+        tops = raw.shared_top(1).select("userid", F.col("score").alias("top_base")).join(own, "userid", "full").select("userid", F.greatest("top_base", "top_own").alias("top"))
+        tops = written(tops, "tops")
+        users = self.users.join(tops, "userid", "left").select("userid", "profile", F.coalesce(1 / F.col("top"), F.lit(1.0)).alias("scale"))
+        cells = raw.cells.join(tops, "userid").select("userid", "itemid", (F.col("s") / F.col("top")).alias("s"))
+        return Signal(written(users, "profiles"), raw.base, written(cells, "cells"), self.seen)
+
+    def top(self, users: DataFrame, items: DataFrame, k: int, digits: int = 9) -> DataFrame:
+        """(userid, itemid, score, rank): the k best by rounded value, then items without one in order.
+
+        An item's value is no less than what its profile gives, so only the best own cells and the k best of the profile count.
+        """
+        own = self.of(users)
+        rounded = Signal(own.users, own.base.withColumn("s", F.round("s", digits)), own.cells.withColumn("s", F.round("s", digits)), own.seen)
+        both = rounded.shared_top(k).unionByName(rounded.cells.withColumnRenamed("s", "score"))
+        return top_sparse(both.groupBy("userid", "itemid").agg(F.max("score").alias("score")), users, items, own.seen, k)
+
+    def quantised(self) -> Signal:
+        """Values in single precision."""
+        return Signal(self.users, *(df.withColumn("s", F.col("s").cast("float").cast("double")) for df in (self.base, self.cells)), self.seen)
+
+    def rows(self) -> DataFrame:
+        """(userid, itemid, s) of every cell: users x items, for small data alone."""
+        d = self.corrections()
+        shared = self.users.join(self.base, "profile").select("userid", "itemid", (F.col("scale") * F.col("s")).alias("s"))
+        return shared.join(d, ["userid", "itemid"], "left_anti").unionByName(d.where("own is not null").select("userid", "itemid", F.col("own").alias("s")))
+
+    def collect(self) -> list:
+        return self.rows().collect()
+
+
+def factored(t: DataFrame, found: DataFrame, observed: DataFrame, kinds: tuple[str, ...] = KINDS) -> Signal:
+    """signal() as a Signal: rules of liked items make cells, those of clusters the base of each profile, which is the set of a
+    user's cluster tokens (at most as many as there are clusters)."""
+    shared = [k for k in kinds if k != "item"]
+    key = F.array_sort(F.collect_set(F.concat_ws(":", "kind", "token"))).alias("key")
+    profiles = t.where(F.col("kind").isin(shared)).groupBy("userid").agg(key).withColumn("profile", F.xxhash64("key"))
+    users = written(profiles.select("userid", "profile", F.lit(1.0).alias("scale"), "key"), "profiles")
+    parts = users.groupBy("profile").agg(F.first("key").alias("key")).select("profile", F.explode("key").alias("key"))
+    fired = found.withColumn("key", F.concat_ws(":", "kind", "token")).join(F.broadcast(parts), "key")
+    base = written(fired.groupBy("profile", "itemid").agg(F.sum("confidence").alias("s")), "base")
+    users = users.drop("key")
+    if "item" not in kinds:
+        return Signal(users, base, observed.sparkSession.createDataFrame([], _cells(observed)), observed)
+    own = signal(t, found, observed, ("item",)).withColumnRenamed("s", "own")
+    whole = own.join(users, "userid", "left").join(base, ["profile", "itemid"], "left").select("userid", "itemid", (F.col("own") + F.coalesce("s", F.lit(0.0))).alias("s"))
+    return Signal(users, base, written(whole, "cells"), observed)
+
+
+def _cells(seen: DataFrame) -> str:
+    kinds = dict(seen.dtypes)
+    return f"userid {kinds['userid']}, itemid {kinds['itemid']}, s double"
+
+
+def full_signal(y: DataFrame, how: str = "row_max", k_user: int = 1, k_item: int = 1, min_support: float = 0.0, min_confidence: float = 0.0, min_lift: float = 0.0, seed: int = 42) -> Signal:
+    """The normalised signal of all three families of rules."""
+    checked(k_user, k_item, min_support, min_confidence, min_lift, how)
     t = written(tokens(y, clusters(y, "userid", k_user, seed), clusters(y, "itemid", k_item, seed)), "tokens")
     found = written(rules(y, t, min_support, min_confidence, min_lift), "rules")
-    return written(normalised(signal(t, found, seen(y)), how), "signal")
+    return factored(t, found, seen(y)).normalised(how)
+
+
+def checked(k_user: int, k_item: int, min_support: float, min_confidence: float, min_lift: float, how: str) -> None:
+    """Raises ValueError for settings that no signal has."""
+    for name, value in (("k_user", k_user), ("k_item", k_item)):
+        if isinstance(value, bool) or not isinstance(value, int) or value < 1:
+            raise ValueError(f"{name} must be a positive whole number")
+    for name, value, most in (("min_support", min_support, 1.0), ("min_confidence", min_confidence, 1.0), ("min_lift", min_lift, math.inf)):
+        if not math.isfinite(value) or not 0 <= value <= most:
+            raise ValueError(f"{name} must be finite, not negative and at most {most}")
+    if how not in NORMALISERS:
+        raise ValueError(f"normalize must be one of {NORMALISERS}")

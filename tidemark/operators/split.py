@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import written
 from .feedback import LIKED, matrix
 from .positions import before
 
@@ -14,8 +15,8 @@ RATIOS = (0.7, 0.1, 0.2)
 
 
 def starts(log: DataFrame) -> DataFrame:
-    """(ts, n, start): rows of each time and how many rows come before it."""
-    return before(log.groupBy("ts").agg(F.count("*").alias("n")), "ts", "n", "start")
+    """(ts, n, start): rows of each time and how many rows come before it. The log is read once: its times are written."""
+    return before(written(log.groupBy("ts").agg(F.count("*").alias("n")), "times"), "ts", "n", "start")
 
 
 def cuts(log: DataFrame, ratios: tuple[float, float, float] = RATIOS) -> DataFrame:
@@ -26,7 +27,7 @@ def cuts(log: DataFrame, ratios: tuple[float, float, float] = RATIOS) -> DataFra
     """
     if min(ratios) <= 0 or not math.isclose(sum(ratios), 1.0):
         raise ValueError("ratios must be positive and add up to 1")
-    at = starts(log)
+    at = written(starts(log), "starts")
     totals = at.agg(F.sum("n").alias("n_rows"), F.max("start").alias("last"), F.count("*").alias("times")).first()
     if (totals.times or 0) < 3:
         raise ValueError("a split needs at least three distinct times")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import cooccurrence, factors, feedback, graph, lightgcn, ranking, rules, sampling, split
 from ..operators.positions import codes
 from ..sources import interactions as log
+from ..storage import written
 from .search import random_search, sample_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,12 +56,14 @@ def _log(spark, sf_dir):
 
 
 def _split(spark, sf_dir):
-    return split.labelled(_log(spark, sf_dir))
+    """The log with its windows; the joined and cleaned log is computed once."""
+    return split.labelled(written(_log(spark, sf_dir), "log"))
 
 
 def _final(spark, sf_dir):
-    """(fit matrix, evaluation matrix) of the last stage."""
-    return split.fit_and_eval(*split.stage(_split(spark, sf_dir)))
+    """(fit matrix, evaluation matrix) of the last stage, computed once."""
+    y, target = split.fit_and_eval(*split.stage(_split(spark, sf_dir)))
+    return written(y, "fit"), written(target, "target")
 
 
 def _ranks(spark, sf_dir):
@@ -337,12 +340,16 @@ def rules_filtered(spark, sf_dir):
 
 
 def _digest(s):
-    return s.groupBy("userid").agg(F.count("*").alias("n"), F.round(F.sum("s"), 6).alias("total"), F.round(F.max("s"), 6).alias("top"), F.max("itemid").alias("last_item"))
+    return s.digest().select("userid", "n", F.round("total", 6).alias("total"), F.round("top", 6).alias("top"), "last_item")
 
 
-def _signal(spark, sf_dir, kinds=("item", "icl", "ucl")):
-    y, t, found = _rules(spark, sf_dir)
-    return rules.signal(t, found, feedback.seen(y), kinds)
+def _signal_of(y, kinds=rules.KINDS):
+    t = written(rules.tokens(y), "tokens")
+    return rules.factored(t, written(rules.rules(y, t), "rules"), feedback.seen(y), kinds)
+
+
+def _signal(spark, sf_dir, kinds=rules.KINDS):
+    return _signal_of(_final(spark, sf_dir)[0], kinds)
 
 
 @query(f"WITH {SIGNAL.replace('KINDS', PERSONAL)} {DIGEST}")
@@ -362,19 +369,18 @@ def signal_masked(spark, sf_dir):
 
 @query(f"WITH {NORMAL.replace('VALUE', 's')} {DIGEST}")
 def signal_row_max(spark, sf_dir):
-    return _digest(rules.normalised(_signal(spark, sf_dir)))
+    return _digest(_signal(spark, sf_dir).normalised())
 
 
 @query(f"WITH {NORMAL.replace('VALUE', 'ln(1 + s)')} {DIGEST}")
 def signal_log_row_max(spark, sf_dir):
-    return _digest(rules.normalised(_signal(spark, sf_dir), "log_row_max"))
+    return _digest(_signal(spark, sf_dir).normalised("log_row_max"))
 
 
 @query(f"WITH {GOAL}, {SIGNAL.replace('KINDS', PERSONAL).removeprefix(FIT + ', ')}, r AS (SELECT userid, itemid, round(s, 9) AS s FROM signal){_top(200, 'coalesce(r.s, 0)', 'LEFT JOIN r ON r.userid = u.userid AND r.itemid = i.itemid')}{NDCG}")
 def rules_only_ndcg(spark, sf_dir):
     y, users, goal = _ranks(spark, sf_dir)
-    s = _signal(spark, sf_dir, ("item", "icl")).select("userid", "itemid", F.round("s", 9).alias("score"))
-    top = ranking.top_sparse(s, users.select("userid"), y, feedback.seen(y), 200)
+    top = _signal_of(y, ("item", "icl")).top(users.select("userid"), y, 200)
     return ranking.ndcg(top, users, goal, ranking.list_sizes(users.select("userid"), y, feedback.seen(y)))
 
 
@@ -382,8 +388,7 @@ def rules_only_ndcg(spark, sf_dir):
 def rules_ndcg(spark, sf_dir):
     """rules_only_ndcg, whose SQL leaves out the clusters of users, with all three families of rules."""
     y, users, goal = _ranks(spark, sf_dir)
-    s = _signal(spark, sf_dir).select("userid", "itemid", F.round("s", 9).alias("score"))
-    top = ranking.top_sparse(s, users.select("userid"), y, feedback.seen(y), 200)
+    top = _signal_of(y).top(users.select("userid"), y, 200)
     return ranking.ndcg(top, users, goal, ranking.list_sizes(users.select("userid"), y, feedback.seen(y)))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -12,25 +13,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where that is unset (tests) a folder of our own."""
+    """spark.checkpoint.dir; where that is unset a folder of our own, which only a local master can share."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints', spark.sparkContext.applicationId)}"
     return found.rstrip("/")
 
 
-_passing: list[list[str]] = []
+_own = threading.local()
 
 
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[list[str]]:
-    """The folders that written() makes inside; those still in the list at the end are deleted."""
+    """The folders that written() makes inside, in this thread; those still in the list at the end are deleted."""
     made: list[str] = []
-    _passing.append(made)
+    lists = _own.__dict__.setdefault("lists", [])
+    lists.append(made)
     try:
         yield made
     finally:
-        _passing.pop()
+        lists.pop()
         for path in made:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -40,6 +44,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table, computed once."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _passing:
-        _passing[-1].append(path)
+    if lists := getattr(_own, "lists", None):
+        lists[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
