@@ -88,7 +88,7 @@ def _equations(parts: DataFrame, size: int, base: np.ndarray | None, sums: DataF
     step = max(64, (1 << 22) // width)
 
     def totals(w: np.ndarray, r: np.ndarray, v: np.ndarray) -> np.ndarray:
-        return np.concatenate([(v[:, :, None] * v[:, None, :]).reshape(len(v), -1) * w[:, None], v * r[:, None]], axis=1)
+        return np.concatenate([(v[:, :, None] * v[:, None, :]).reshape(len(v), size * size) * w[:, None], v * r[:, None]], axis=1)
 
     def record(rows: np.ndarray, w: np.ndarray, r: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(w, pa.float64()), pa.array(r, pa.float64()), lists_of(v)], names=["row", "w", "r", "vec"])

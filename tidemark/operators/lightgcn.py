@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import passing, written
 from . import graph, sampling
-from .factors import _sums
+from .factors import _sums, dot, lists_of, vectors_of
 from .feedback import LIKED, liked
 from .positions import before
 
@@ -21,14 +22,14 @@ BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
 def vector_sums(parts: DataFrame, size: int) -> DataFrame:
     """(node, vec): the sum of w * vec over the parts (node, w, vec) of each node, added in the tasks before the shuffle."""
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                number, names = pd.factorize(b["node"])
-                keys, sums = _sums(number, np.stack(b["vec"]) * b["w"].to_numpy()[:, None])
-                yield pd.DataFrame({"node": names[keys], "vec": list(sums)})
+            if b.num_rows:
+                names = b.column(0).dictionary_encode()
+                keys, sums = _sums(names.indices.to_numpy().astype(np.int64), vectors_of(b.column(2)) * b.column(1).to_numpy()[:, None])
+                yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(keys)), lists_of(sums)], names=["node", "vec"])
 
-    once = parts.select("node", "w", "vec").mapInPandas(add, "node string, vec array<double>")
+    once = parts.select("node", F.col("w").cast("double").alias("w"), "vec").mapInArrow(add, "node string, vec array<double>")
     cells = once.groupBy("node").agg(*(F.sum(F.col("vec")[k]).alias(str(k)) for k in range(size)))
     return cells.select("node", F.array(*(F.col(str(k)) for k in range(size))).alias("vec"))
 
@@ -56,12 +57,17 @@ def _adam(rate: float, first: float, second: float):
     return lambda m, v: rate * m / first / (F.sqrt(v / second) + EPSILON)
 
 
-def fit(y: DataFrame, size: int = 16, layers: int = 3, rate: float = 0.001, weight: float = 1e-4, epochs: int = 10, seed: int = 42, threshold: float = LIKED, batch_size: int = 2048) -> DataFrame:
+def fit(y: DataFrame, size: int = 16, layers: int = 3, rate: float = 0.001, weight: float = 1e-4, epochs: int = 10, seed: int = 42, threshold: float = LIKED, batch_size: int = 2048, most_steps: int | None = None, losses: list[float] | None = None) -> DataFrame:
     """(node, vec): final propagated factors, nodes named as in graph.edges(). Each epoch draws fresh triples and takes one Adam step
     for every batch_size of them, in the order of the draws, which is random: on the mean of -log sigmoid(score difference) plus
-    half the weight times the mean squared norm of the embeddings drawn. A step's tables go with the next one."""
-    if batch_size < 1:
-        raise ValueError("batch_size must be positive")
+    half the weight times the mean squared norm of the embeddings drawn. A step's tables go with the next one.
+
+    A step passes over the whole graph, so steps must not grow with the triples on large graphs: with most_steps an epoch takes
+    at most so many, of larger batches, and the rate grows with the square root of the batch, as Adam asks. losses gets the mean
+    loss of each epoch.
+    """
+    if batch_size < 1 or (most_steps is not None and most_steps < 1):
+        raise ValueError("batch_size and most_steps must be positive")
     spark = y.sparkSession
     likes = written(liked(y, threshold), "likes")
     a = written(graph.adjacency(graph.edges(likes)), "adjacency")
@@ -73,13 +79,23 @@ def fit(y: DataFrame, size: int = 16, layers: int = 3, rate: float = 0.001, weig
             named = written(sampling.draws(likes, items, seed + epoch).select("id", F.concat(F.lit("u"), "userid").alias("u"), F.concat(F.lit("i"), "liked").alias("p"), F.concat(F.lit("i"), "other").alias("n")), "draws")
             drawn = written(before(named, "id", into="at").withColumn("batch", F.floor(F.col("at") / batch_size)), "triples")
             n_drawn = drawn.count()
-            for batch in range((n_drawn + batch_size - 1) // batch_size):
+            size_now, rate_now = batch_size, rate
+            if most_steps is not None and -(-n_drawn // batch_size) > most_steps:
+                size_now = -(-n_drawn // most_steps)
+                rate_now = rate * (size_now / batch_size) ** 0.5
+                drawn = drawn.withColumn("batch", F.floor(F.col("at") / size_now))
+            epoch_losses: list[float] = []
+            for batch in range(-(-n_drawn // size_now)):
                 steps += 1
-                some, n = drawn.where(F.col("batch") == batch).select("u", "p", "n"), min(batch_size, n_drawn - batch * batch_size)
+                some, n = drawn.where(F.col("batch") == batch).select("u", "p", "n"), min(size_now, n_drawn - batch * size_now)
                 with passing(spark) as made:
                     made += old
-                    state = written(_step(a, some, n, state, layers, size, rate, weight, steps), "embeddings")
+                    state = written(_step(a, some, n, state, layers, size, rate_now, weight, steps), "embeddings")
                     old = [made.pop()]
+                    if losses is not None:
+                        epoch_losses.append(bpr_loss(smoothed(a, state.select("node", "vec"), layers, size), some))
+            if losses is not None and epoch_losses:
+                losses.append(sum(epoch_losses) / len(epoch_losses))
     return written(smoothed(a, state.select("node", "vec"), layers, size), "smoothed")
 
 
@@ -90,14 +106,15 @@ def _step(a: DataFrame, drawn: DataFrame, n: int, state: DataFrame, layers: int,
     for c in "upn":
         three = three.join(out.select(F.col("node").alias(c), F.col("vec").alias(f"v{c}")), c)
 
-    def gradients(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                u, p, q = (np.stack(b[c]) for c in ("vu", "vp", "vn"))
+            if b.num_rows:
+                u, p, q = (vectors_of(b.column(c)) for c in ("vu", "vp", "vn"))
                 g = -1 / (1 + np.exp((u * (p - q)).sum(axis=1, keepdims=True))) / n
-                yield pd.DataFrame({"node": pd.concat([b["u"], b["p"], b["n"]], ignore_index=True), "w": 1.0, "vec": list(np.concatenate([g * (p - q), g * u, -g * u]))})
+                nodes = pa.concat_arrays([b.column(c) for c in "upn"])
+                yield pa.RecordBatch.from_arrays([nodes, pa.array(np.ones(len(nodes))), lists_of(np.concatenate([g * (p - q), g * u, -g * u]))], names=["node", "w", "vec"])
 
-    outer = written(vector_sums(three.mapInPandas(gradients, "node string, w double, vec array<double>"), size), "gradients")
+    outer = written(vector_sums(three.mapInArrow(gradients, "node string, w double, vec array<double>"), size), "gradients")
     inner = smoothed(a, outer, layers, size)
     used = drawn.select(F.explode(F.array("u", "p", "n")).alias("node")).groupBy("node").agg((F.count("*") * weight / n).alias("decay"))
     zero = F.array(*(F.lit(0.0) for _ in range(size)))
@@ -108,7 +125,16 @@ def _step(a: DataFrame, drawn: DataFrame, n: int, state: DataFrame, layers: int,
     return both.select("node", F.zip_with("vec", step, lambda x, s: x - s).alias("vec"), "m", "v")
 
 
+def bpr_loss(vectors: DataFrame, drawn: DataFrame) -> float:
+    """The mean of -log sigmoid(score difference) over triples (u, p, n) of nodes."""
+    three = drawn
+    for c in "upn":
+        three = three.join(vectors.select(F.col("node").alias(c), F.col("vec").alias(f"v{c}")), c)
+    gap = dot("vu", "vp") - dot("vu", "vn")
+    return float(three.agg(F.avg(F.log1p(F.exp(-F.abs(gap))) + F.greatest(-gap, F.lit(0.0)))).first()[0] or 0.0)
+
+
 def factors_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """User and item factors for ranking."""
-    side = lambda c, key: vectors.where(F.col("node").startswith(c)).select(F.substring("node", 2, 30).cast("long").alias(key), "vec")
+    side = lambda c, key: vectors.where(F.col("node").startswith(c)).select(F.expr("substring(node, 2)").cast("long").alias(key), "vec")
     return side("u", "userid"), side("i", "itemid")

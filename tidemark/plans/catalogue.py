@@ -549,7 +549,7 @@ def cofactor_fit_scores(spark, sf_dir):
 def lightgcn_scores(spark, sf_dir):
     """Scores are sigmoids in single precision, whose ties fall back to the item's order."""
     y, users, goal = _ranks(spark, sf_dir)
-    p, q = lightgcn.factors_of(lightgcn.fit(y, size=32, layers=2, epochs=30))
+    p, q = lightgcn.factors_of(lightgcn.fit(y, size=32, layers=2, epochs=30, most_steps=1))
     top = factors.top_factors(p.join(users.select("userid"), "userid", "left_semi"), q, feedback.seen(y), 10)
     return top.select("userid", "itemid", F.round((1 / (1 + F.exp(-F.col("score")))).cast("float"), 6).alias("score"), "rank")
 
@@ -581,10 +581,11 @@ def hyperparam_samples(spark, sf_dir):
 
 
 def fit_model(y, model, settings):
-    """User and item factors of a model at the settings that the search drew."""
+    """User and item factors of a model at the settings that the search drew. LightGCN takes an epoch's batches in one step,
+    with its rate scaled to that: a step passes over the whole graph."""
     x = settings
     if model == "lightgcn":
-        return lightgcn.factors_of(lightgcn.fit(y, x["latent"], x["n_layers"], x["learning_rate"], x["lambda_rate"], x["epochs"], x["random_state"], batch_size=x["batch_size"]))
+        return lightgcn.factors_of(lightgcn.fit(y, x["latent"], x["n_layers"], x["learning_rate"], x["lambda_rate"], x["epochs"], x["random_state"], batch_size=x["batch_size"], most_steps=1))
     common = {"size": x["latent"], "rate": x["lambda_rate"], "alpha": x["alpha"], "sweeps": x["n_sweeps"], "seed": x["random_state"]}
     if model == "cofactor":
         return factors.fit_cofactor(y, gamma=x["gamma"], context_rate=x["lambda_context_rate"], negatives=x["negative_samples"], **common)
