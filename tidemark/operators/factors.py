@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..storage import written
 from .cooccurrence import counts, sppmi
 from .feedback import LIKED, liked
+from .positions import codes
 
 if TYPE_CHECKING:
     from .rules import Signal
@@ -235,6 +236,15 @@ def fit_wmf(y: DataFrame, size: int = 8, rate: float = 0.1, alpha: float = 10.0,
     return p, q
 
 
+def fit_coded(y: DataFrame, fit: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """fit() over feedback with ids of any type: it gets their dense numbers, its factors get the ids back."""
+    numbers = {c: written(codes(y, c, "_idx"), "codes") for c in ("userid", "itemid")}
+    coded = y
+    for c, table in numbers.items():
+        coded = coded.join(table, c).drop(c).withColumnRenamed("_idx", c)
+    return tuple(f.join(numbers[c].select(F.col(c).alias("_id"), F.col("_idx").alias(c)), c).select(F.col("_id").alias(c), "vec") for f, c in zip(fit(coded), numbers, strict=True))
+
+
 def fold_in(cells: DataFrame, items: DataFrame, size: int, rate: float, alpha: float) -> DataFrame:
     """Factors of users from their liked cells alone, the items' factors staying as they are."""
     return least_squares(_parts(cells, "userid", "itemid", items, F.lit(alpha), F.lit(1 + alpha)), size, gram(items) + rate * np.eye(size)).withColumnRenamed("row", "userid")

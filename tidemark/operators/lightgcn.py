@@ -14,7 +14,6 @@ from ..storage import passing, written
 from . import graph, sampling
 from .factors import _sums, dot, lists_of, vectors_of
 from .feedback import LIKED, liked
-from .positions import before
 
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
 
@@ -35,13 +34,15 @@ def vector_sums(parts: DataFrame, size: int) -> DataFrame:
 
 
 def smoothed(a: DataFrame, vectors: DataFrame, layers: int, size: int) -> DataFrame:
-    """The mean of the vectors and of their first so many propagations. It is its own transpose, so gradients take the same way back."""
-    every, now = vectors.select("node", F.lit(1.0).alias("w"), "vec"), vectors
+    """The mean of the vectors and of their first so many propagations. It is its own transpose, so gradients take the same way back.
+
+    v + a (v + a (v + ...)) needs one chain of joins, in which every layer is computed once.
+    """
+    every = now = vectors.select("node", F.lit(1.0).alias("w"), "vec")
     for _ in range(layers):
-        step = a.join(now.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "w", "vec")
-        now = written(vector_sums(step, size), "layer")
-        every = every.unionByName(now.select("node", F.lit(1.0).alias("w"), "vec"))
-    return vector_sums(every, size).select("node", F.transform("vec", lambda x: x / (layers + 1)).alias("vec"))
+        step = a.join(now.select(F.col("node").alias("dst"), "vec"), "dst").select(F.col("src").alias("node"), "w", "vec")
+        now = vector_sums(step.unionByName(every), size)
+    return now.select("node", F.transform("vec", lambda x: x / (layers + 1)).alias("vec"))
 
 
 def _initial(nodes: DataFrame, size: int, seed: int) -> DataFrame:
@@ -72,22 +73,23 @@ def fit(y: DataFrame, size: int = 16, layers: int = 3, rate: float = 0.001, weig
     likes = written(liked(y, threshold), "likes")
     a = written(graph.adjacency(graph.edges(likes)), "adjacency")
     items = written(y.select("itemid").distinct(), "items")
+    ready = sampling.prepared(likes, items)
     nodes = y.select(F.concat(F.lit("u"), "userid").alias("node")).unionByName(y.select(F.concat(F.lit("i"), "itemid").alias("node"))).distinct()
     state, steps, old = written(_initial(nodes, size, seed), "embeddings"), 0, []
     for epoch in range(1, epochs + 1):
         with passing(spark):
-            named = written(sampling.draws(likes, items, seed + epoch).select("id", F.concat(F.lit("u"), "userid").alias("u"), F.concat(F.lit("i"), "liked").alias("p"), F.concat(F.lit("i"), "other").alias("n")), "draws")
-            drawn = written(before(named, "id", into="at").withColumn("batch", F.floor(F.col("at") / batch_size)), "triples")
-            n_drawn = drawn.count()
+            name = lambda c, of: F.concat(F.lit(of), c).alias
+            triples = sampling.draws(likes, items, seed + epoch, ready).select("id", name("userid", "u")("u"), name("liked", "i")("p"), name("other", "i")("n"))
             size_now, rate_now = batch_size, rate
-            if most_steps is not None and -(-n_drawn // batch_size) > most_steps:
-                size_now = -(-n_drawn // most_steps)
+            if most_steps is not None and -(-ready.n_likes // batch_size) > most_steps:
+                size_now = -(-ready.n_likes // most_steps)
                 rate_now = rate * (size_now / batch_size) ** 0.5
-                drawn = drawn.withColumn("batch", F.floor(F.col("at") / size_now))
+            drawn = written(triples.withColumn("batch", F.floor(F.col("id") / size_now)), "triples")
+            counts = sorted(drawn.groupBy("batch").count().collect())
             epoch_losses: list[float] = []
-            for batch in range(-(-n_drawn // size_now)):
+            for batch, n in counts:
                 steps += 1
-                some, n = drawn.where(F.col("batch") == batch).select("u", "p", "n"), min(size_now, n_drawn - batch * size_now)
+                some = drawn.where(F.col("batch") == batch).select("u", "p", "n")
                 with passing(spark) as made:
                     made += old
                     state = written(_step(a, some, n, state, layers, size, rate_now, weight, steps), "embeddings")
