@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -58,27 +59,40 @@ def verifiers() -> dict[str, regex.Pattern]:
 
 
 def fuzzy(text: str) -> list[tuple[int, int, str, int]]:
-    """(start, end, label, edits) of notices in a lower-cased text, in code points; no two of a notice overlap."""
-    windows: dict[str, list[list[int]]] = {}
+    """(start, end, label, edits) of notices in a lower-cased text, in code points; no two of a notice overlap.
+
+    Every seed asks for the best match in a window of its notice's own length, so the work is in proportion to the seeds. Of
+    matches of a notice that overlap, those with fewer edits stay, then earlier ones. Seeds inside a match without any edit
+    are part of it and ask nothing.
+    """
+    got: dict[str, set[tuple[int, int, int]]] = {}
+    exact: dict[str, int] = {}
+    asked: dict[str, tuple[int, int]] = {}
     for last, (length, places) in seeds().iter(text):
         for notice, start in places:
             slack = len(notice) // PER_ERROR
-            low = max(0, last - length + 1 - start - slack)
-            high = low + len(notice) + 3 * slack
-            mine = windows.setdefault(notice, [])
-            if mine and low <= mine[-1][1]:
-                mine[-1] = [min(mine[-1][0], low), max(mine[-1][1], high)]
-            else:
-                mine.append([low, high])
+            begin = last - length + 1
+            low = max(0, begin - start - slack)
+            window = (low, min(len(text), begin - start + len(notice) + 2 * slack))
+            if begin < exact.get(notice, 0) or asked.get(notice) == window:
+                continue
+            asked[notice] = window
+            if match := verifiers()[notice].search(text, *window):
+                edits = sum(match.fuzzy_counts)
+                got.setdefault(notice, set()).add((edits, match.start(), match.end()))
+                if not edits:
+                    exact[notice] = match.end()
     out = set()
-    for notice, mine in windows.items():
-        for low, high in mine:
-            asked = [(low, min(high, len(text)))]
-            while asked:  # the best match comes first: weaker ones may stand on both sides of it
-                low, high = asked.pop()
-                if match := verifiers()[notice].search(text, low, high):
-                    out.add((match.start(), match.end(), NOTICES[notice], sum(match.fuzzy_counts)))
-                    asked += [(low, match.start()), (match.end(), high)]
+    for notice, found in got.items():
+        starts: list[int] = []
+        ends: list[int] = []
+        for edits, start, end in sorted(found):
+            at = bisect_left(starts, start)
+            if (at and ends[at - 1] > start) or (at < len(starts) and starts[at] < end):
+                continue
+            starts.insert(at, start)
+            ends.insert(at, end)
+            out.add((start, end, NOTICES[notice], edits))
     return sorted(out)
 
 

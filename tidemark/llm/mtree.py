@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import heapq
 import io
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 
 import numpy as np
 import pandas as pd
@@ -15,8 +16,8 @@ from pyspark.sql.window import Window
 
 from .common import drop, written
 
-#: Rows of a leaf page, entries of an inner page, rows of a tree, queries that are broadcast at once.
-LEAF, FANOUT, TREE_ROWS, QUERY_BLOCK = 128, 16, 1 << 14, 4096
+#: Rows of a leaf page, entries of an inner page, rows of a tree, trees of a group, queries that a task searches at once.
+LEAF, FANOUT, TREE_ROWS, TREES, QUERY_BLOCK = 128, 16, 1 << 14, 8, 4096
 
 
 @dataclass(frozen=True)
@@ -54,29 +55,35 @@ class Tree:
             return Tree(**{f.name: x[f.name] for f in fields(Tree)})
 
 
+def _power(x: np.ndarray) -> float:
+    """1 for what squares safely, else a power of two that brings x under 1."""
+    most = float(np.abs(x).max()) if x.size else 0.0
+    return 1.0 if most < 2.0**400 else 2.0 ** math.frexp(most)[1]
+
+
 def build(rows: np.ndarray, ids: np.ndarray) -> Tree:
     """Bulk load: pivots far from each other share out the rows, page by page, until they fit a leaf."""
     order = np.argsort(ids, kind="stable")
     rows, ids = rows[order], ids[order]
-    square = (rows * rows).sum(axis=1)
+    small = rows / _power(rows)
+    square = (small * small).sum(axis=1)
     longest = square.max()
-    points = np.concatenate([rows, np.sqrt(np.maximum(longest - square, 0))[:, None]], axis=1)
+    points = np.concatenate([small, np.sqrt(np.maximum(longest - square, 0))[:, None]], axis=1)
     distance = lambda at, to: np.sqrt(np.maximum(((points[at] - points[to]) ** 2).sum(axis=1), 0))
-    pages: list[list] = []  # leaf, lo, hi, least id
+    pages: list[list] = [[]]  # leaf, lo, hi, least id
     entries: dict[str, list[np.ndarray]] = {n: [] for n in ("router", "radius", "parent", "child")}
     placed: list[np.ndarray] = []
     parents: list[np.ndarray] = []
     sizes = [0, 0]
-
-    def page(own: np.ndarray, router: int) -> int:
-        number = len(pages)
-        pages.append([])
+    todo = [(0, np.arange(len(rows)), 0)]
+    while todo:
+        number, own, router = todo.pop()
         if len(own) <= LEAF:
             placed.append(own)
             parents.append(distance(own, router))
             pages[number] = [True, sizes[0], sizes[0] + len(own), ids[own].min()]
             sizes[0] += len(own)
-            return number
+            continue
         pivots = [int(own[0])]
         near = distance(own, pivots[0])
         side = np.zeros(len(own), np.int64)
@@ -91,15 +98,14 @@ def build(rows: np.ndarray, ids: np.ndarray) -> Tree:
         if len(pivots) == 1:  # equal rows: cut them in the order of their ids
             groups = np.array_split(own, min(FANOUT, -(-len(own) // LEAF)))
             pivots *= len(groups)
-        children = np.array([page(g, p) for g, p in zip(groups, pivots, strict=True)])
+        children = np.arange(len(pages), len(pages) + len(groups))
+        pages += [[] for _ in groups]
+        todo += zip(children.tolist(), groups, pivots, strict=True)
         router_rows = np.array(pivots)
         for name, value in (("router", router_rows), ("radius", np.array([distance(g, p).max() for g, p in zip(groups, pivots, strict=True)])), ("parent", distance(router_rows, router)), ("child", children)):
             entries[name].append(value)
         pages[number] = [False, sizes[1], sizes[1] + len(children), ids[own].min()]
         sizes[1] += len(children)
-        return number
-
-    page(np.arange(len(rows)), 0)
     leaf, lo, hi, least = (np.array(x) for x in zip(*pages, strict=True))
     placed_at = np.concatenate(placed)
     where = np.argsort(placed_at)
@@ -107,34 +113,53 @@ def build(rows: np.ndarray, ids: np.ndarray) -> Tree:
     return Tree(rows[placed_at], ids[placed_at], np.concatenate(parents), leaf, lo, hi, least, where[:1], where[flat["router"].astype(np.int64)], flat["radius"], flat["parent"], flat["child"].astype(np.int64), np.array([longest]))
 
 
+_LEAST, _MOST = -(2**63), 2**63 - 1
+
+
 def search(tree: Tree, query: np.ndarray, own_id: int, k: int, best: list[tuple[int, int]], seen: list[int] | None = None) -> None:
-    """Puts the tree's best rows for the query into best, a heap of (score, -id) that holds k at most. seen counts distances computed."""
-    reach = float(query @ query + tree.longest[0])
-    slack = 1e-9 * reach + 1e-6
+    """Puts the tree's best rows for the query into best, a heap of (score, -id) that holds k at most. seen counts distances computed.
+
+    Where doubles do not hold inner products as whole numbers, they still bound pages and rows, with room for their error, and
+    the rows left are scored in whole numbers of any length, then cut to a long.
+    """
+    whole = exact(tree.rows, query)
+    power, by = _power(tree.rows), _power(query)
+    rows, asked = (tree.rows, query) if power == by == 1 else (tree.rows / power, query / by)
+    unit = int(power) * int(by)
+    words = None if whole else [int(x) for x in query]
+    reach = float(asked @ asked + tree.longest[0])
+    slack = (1e-9 if whole else 1e-6) * reach + (1e-6 if unit == 1 else 0.0)
     far = lambda score: np.sqrt(np.maximum(reach - 2.0 * score, 0.0))
-    todo = [(0.0, 0, float(far(tree.rows[tree.root_row[0]] @ query)))]
+    todo = [(0.0, 0, float(far(rows[tree.root_row[0]] @ asked)))]
     while todo:
         bound, p, to_router = heapq.heappop(todo)
         lo, hi = tree.lo[p], tree.hi[p]
         full = len(best) == k
         if full:
-            most = np.floor((reach - bound * bound) / 2 + slack)
-            if most < best[0][0]:
+            # the k-th score in the units of the bounds; one cut to a long bounds nothing above it
+            least = float(np.float64(best[0][0] / unit)) if unit > 1 else float(best[0][0])
+            most = (reach - bound * bound) / 2 + slack
+            most = np.floor(most) if whole else most
+            if most < least:
                 return
-            if most == best[0][0] and tree.least_id[p] > -best[0][1]:
+            if whole and most == least and tree.least_id[p] > -best[0][1]:
                 continue
-            limit = float(far(best[0][0])) + slack
+            limit = float(far(least)) + (slack if whole else math.sqrt(slack))
         if tree.leaf[p]:
-            at = slice(lo, hi)
+            at = np.arange(lo, hi)
             if full:
-                at = lo + np.flatnonzero(np.abs(to_router - tree.row_parent[lo:hi]) <= limit)
-            scores, ids = tree.rows[at] @ query, tree.ids[at]
+                at = at[np.abs(to_router - tree.row_parent[lo:hi]) <= limit]
+            scores, ids = rows[at] @ asked, tree.ids[at]
             if seen is not None:
                 seen[0] += len(ids)
             if full:
-                good = scores >= best[0][0]
-                scores, ids = scores[good], ids[good]
-            for entry in zip(scores.astype(np.int64).tolist(), (-ids).tolist(), strict=True):
+                good = scores >= least - (0.0 if whole else slack)
+                scores, ids, at = scores[good], ids[good], at[good]
+            if whole:
+                found = scores.astype(np.int64).tolist()
+            else:
+                found = [max(_LEAST, min(_MOST, sum(int(a) * b for a, b in zip(r, words, strict=True)))) for r in tree.rows[at].tolist()]
+            for entry in zip(found, (-ids).tolist(), strict=True):
                 if -entry[1] == own_id:
                     continue
                 if len(best) < k:
@@ -145,7 +170,7 @@ def search(tree: Tree, query: np.ndarray, own_id: int, k: int, best: list[tuple[
             at = np.arange(lo, hi)
             if full:
                 at = at[np.abs(to_router - tree.parent[lo:hi]) - tree.radius[lo:hi] <= limit]
-            to = far(tree.rows[tree.router[at]] @ query)
+            to = far(rows[tree.router[at]] @ asked)
             if seen is not None:
                 seen[0] += len(at)
             for d, r, c in zip(to.tolist(), tree.radius[at].tolist(), tree.child[at].tolist(), strict=True):
@@ -162,7 +187,9 @@ def matrix(vectors: list, width: int = 0) -> np.ndarray:
 
 
 def exact(rows: np.ndarray, query: np.ndarray) -> bool:
-    """Whether inner products are whole numbers that doubles hold."""
+    """Whether inner products are whole numbers that doubles hold: how scores are computed, not how they are found."""
+    if max(_power(rows), _power(query)) > 1:
+        return False
     return rows.size == 0 or query.size == 0 or float(np.abs(rows).max()) * float(np.abs(query).max()) * rows.shape[1] < 2.0**53 and float((rows * rows).sum(axis=1).max()) < 2.0**53
 
 
@@ -197,60 +224,52 @@ def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
 def top_k(index: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the k largest inner products of each query with rows of another key; ties to smaller keys.
 
-    Queries go out in blocks of QUERY_BLOCK, each to all trees. A task hands on its k best for a query, so what is ranked in
-    the end grows with tasks and queries, not with rows. Vectors that are null or hold null or non-finite components, and
-    null keys, take no part; of repeated queries one is answered; repeated rows are found as often as they stand there.
-    Scores beyond a long are cut to its range; no rows or no queries give no rows.
+    Groups of about TREES trees are held by one task each, through which all queries pass QUERY_BLOCK at a time; a group hands
+    on its k best for a query, so what is ranked in the end grows with groups and queries, not with rows, and nothing but a
+    count goes through the driver. Vectors that are null or hold null or non-finite components, and null keys, take no part;
+    of repeated queries one is answered; repeated rows are found as often as they stand there. Scores beyond a long are cut to
+    its range, then ties again go to smaller keys; no rows or no queries give no rows.
     """
     spark = index.sparkSession
+    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = index.count()
+    groups = max(1, -(-n // TREES), min(n, parallel))
     asked = queries.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id").agg(F.min("v").alias("v"))
-    found: list[DataFrame] = []
-
-    def blocks() -> Iterator[list]:
-        held = []
-        for r in asked.toLocalIterator():
-            held.append((r.id, r.v))
-            if len(held) == QUERY_BLOCK:
-                yield held
-                held = []
-        if held:
-            yield held
-
-    def run(shared):
-        def over_trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, vectors = shared.value
-            best: list[list] = [[] for _ in ids]
-            for batch in batches:
-                for data in batch.tree:
-                    tree = Tree.from_bytes(data)
-                    width = max(tree.rows.shape[1], vectors.shape[1])
-                    rows = np.pad(tree.rows, ((0, 0), (0, width - tree.rows.shape[1])))
-                    wide = np.pad(vectors, ((0, 0), (0, width - vectors.shape[1])))
-                    tree = Tree(**{f.name: getattr(tree, f.name) for f in fields(Tree)} | {"rows": rows})
-                    for own, query, heap in zip(ids.tolist(), wide, best, strict=True):
-                        if exact(rows, query):
-                            search(tree, query, own, k, heap)
-                        else:
-                            whole = np.array([[int(x) for x in q] for q in rows], object).dot(np.array([int(x) for x in query], object))
-                            for s, i in zip(whole, tree.ids.tolist(), strict=True):
-                                if i != own:
-                                    heapq.heappush(heap, (max(-(2**63), min(2**63 - 1, s)), -i))
-                                    if len(heap) > k:
-                                        heapq.heappop(heap)
-            rows = [(q, -i, s) for q, heap in zip(ids.tolist(), best, strict=True) for s, i in heap]
-            yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-        return over_trees
-
-    for block in blocks():
-        shared = spark.sparkContext.broadcast((np.array([i for i, _ in block], np.int64), matrix([v for _, v in block])))
-        found.append(index.mapInPandas(run(shared), "query_id long, vec_id long, score long"))
-    if not found:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionAll(more)
+    trees = index.select(F.pmod(F.monotonically_increasing_id() + F.shiftright(F.monotonically_increasing_id(), 33), F.lit(groups)).cast("int").alias("g"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("v"), "tree")
+    each = asked.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(1).alias("kind"), "id", "v", F.lit(None).cast("binary").alias("tree"))
+    rows = trees.unionByName(each).repartition(groups, "g").sortWithinPartitions("g", "kind", "id")
+
+    def search_group(held: list[Tree], some: list[tuple[int, list]]) -> pd.DataFrame:
+        vectors = matrix([v for _, v in some])
+        best: list[list] = [[] for _ in some]
+        for tree in held:
+            width = max(tree.rows.shape[1], vectors.shape[1])
+            wide = replace(tree, rows=np.pad(tree.rows, ((0, 0), (0, width - tree.rows.shape[1]))))
+            for (own, _), query, heap in zip(some, np.pad(vectors, ((0, 0), (0, width - vectors.shape[1]))), best, strict=True):
+                search(wide, query, own, k, heap)
+        out = [(q, -i, s) for (q, _), heap in zip(some, best, strict=True) for s, i in heap]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, some = None, [], []
+        for batch in batches:
+            for g, kind, i, v, tree in zip(*(batch[c] for c in ("g", "kind", "id", "v", "tree")), strict=True):
+                if g != now:
+                    if some:
+                        yield search_group(held, some)
+                    now, held, some = g, [], []
+                if kind == 0:
+                    held.append(Tree.from_bytes(tree))
+                    continue
+                some.append((i, v))
+                if len(some) == QUERY_BLOCK:
+                    yield search_group(held, some)
+                    some = []
+        if some:
+            yield search_group(held, some)
+
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    out = rows.mapInPandas(run, "query_id long, vec_id long, score long")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

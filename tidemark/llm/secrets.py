@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowered
+from .common import lowered, unused
 
 # The kinds in their order, the keywords of assignments, and the prefixes of tokens with embedded checksums.
 BASE_KINDS = ("assign", "access", "hex")
@@ -63,10 +63,10 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     if not text:
         return []
     low = lowered(text)
-    hits = sorted((end - length + 1, kind) for end, (length, kinds) in automaton().iter(low) for kind in kinds)
     past = dict.fromkeys(KINDS, 0)
     out = []
-    for start, kind in hits:
+    # no keyword of a kind lies in another of that kind, so the hits of a kind come in the order of their starts
+    for start, kind in ((end - length + 1, kind) for end, (length, kinds) in automaton().iter(low) for kind in kinds):
         if start < past[kind]:
             continue
         if kind == "assign":
@@ -123,10 +123,14 @@ def redact_secrets(docs: DataFrame, text: str = "text", mask: str = "[secret]")
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """redact_secrets() for documents with n_chars, which becomes the new length of texts that changed."""
-    names = docs.columns
-    masked = redact_secrets(docs.withColumn("_before", F.col("text")))
-    changed = ~F.col("text").eqNullSafe(F.col("_before"))
+    """redact_secrets() for documents with n_chars, which becomes the new length of texts that changed.
+
+    Null and empty texts stay as they are, repeated rows are masked alike, no rows give none; all other columns pass, whatever
+    their names.
+    """
+    names, before = docs.columns, unused(docs, "before")
+    masked = redact_secrets(docs.withColumn(before, F.col("text")))
+    changed = ~F.col("text").eqNullSafe(F.col(before))
     return masked.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*(F.col(f"`{c}`") for c in names))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, drop, written
+from .common import LOWER, UPPER, drop, unused, written
 
 # The rules, as (verdict, host, path).
 RULES = (
@@ -19,6 +19,8 @@ RULES = (
 ORDER, BACKOFF, FLOOR = 3, 4.0, 1.0 / 1024
 #: The share of accepted training URLs that the calibrated threshold may block.
 LOSS = 0.05
+#: One accepted URL in so many calibrates instead of teaching.
+CALIBRATION = 5
 #: A model of so many rows at most (about 100 bytes each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
 _BEGIN, _END = "\u0002", "\u0003"
@@ -46,11 +48,15 @@ def model_text(url: Column) -> Column:
     return F.translate(F.regexp_replace(F.coalesce(url, F.lit("")), r"(?s)^.*?://", ""), UPPER, LOWER)
 
 
-def with_grams(rows: DataFrame, text: str = "text") -> DataFrame:
-    """A row for each character of the text and its end: gram holds it after the ORDER characters before it. No other column is lost."""
-    padded = F.concat(F.lit(_BEGIN * ORDER), F.col(text), F.lit(_END))
-    at = F.explode(F.sequence(F.lit(1), F.length(F.col(text)) + 1))
-    return rows.withColumn("_padded", padded).withColumn("_at", at).withColumn("gram", F.col("_padded").substr(F.col("_at"), F.lit(ORDER + 1))).drop("_padded", "_at")
+def grams(text: Column) -> Column:
+    """An array with, for each character of the text and for its end, that character after the ORDER characters before it.
+
+    The text is cut into its characters once, so the work is in proportion to its length.
+    """
+    chars = F.split(F.concat(F.lit(_BEGIN * ORDER), text, F.lit(_END)), "")
+    gram = lambda c: lambda i: F.concat(*(F.get(c, i + k) for k in range(ORDER + 1)))
+    # the outer transform names the characters, so that they are cut out once
+    return F.transform(F.array(chars), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - (ORDER + 1)), gram(c)))[0]
 
 
 def fit(rows: DataFrame, text: str = "text", accepted: str = "accepted") -> DataFrame:
@@ -62,7 +68,7 @@ def fit(rows: DataFrame, text: str = "text", accepted: str = "accepted") -> Data
     Counts cover all rows. Distinct grams are counted before anything is joined, so a frequent gram is one row.
     """
     count = lambda flag: F.sum(F.when(F.col(accepted) == flag, 1).otherwise(0))
-    seen, path = written(with_grams(rows.select(text, accepted), text).groupBy("gram").agg(count(True).alias("a"), count(False).alias("r")), "grams")
+    seen, path = written(rows.select(F.explode(grams(F.col(text))).alias("gram"), accepted).groupBy("gram").agg(count(True).alias("a"), count(False).alias("r")), "grams")
     totals = seen.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in "ar")).first()
     parts = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(whole).alias("whole"), F.col("gram").substr(F.lit(ORDER + 1 - k), F.lit(k + whole)).alias("part")) for k in range(ORDER + 1) for whole in (0, 1) if k + whole)))
     flat = seen.withColumn("_p", parts).select("gram", "a", "r", "_p.*")
@@ -83,29 +89,35 @@ def fit(rows: DataFrame, text: str = "text", accepted: str = "accepted") -> Data
 def score(rows: DataFrame, model: DataFrame, text: str = "text", into: str = "score") -> DataFrame:
     """rows with the mean log ratio of the characters of each text.
 
-    The characters of a row meet again under the row's own number, summed first in their task. The model is broadcast
-    behind a count of its rows; a larger one is joined by shuffle, where adaptive execution splits frequent grams.
+    Rows are numbered and written; their characters carry the number alone, meet again under it, summed first in their task,
+    and join the rest of the row. The model is broadcast behind a count of its rows; a larger one is joined by shuffle, where
+    adaptive execution splits frequent grams.
     """
-    names = rows.columns
-    numbered = with_grams(rows.withColumn("_row", F.monotonically_increasing_id()), text)
+    number = unused(rows, "row")
+    numbered, _ = written(rows.withColumn(number, F.monotonically_increasing_id()), "url-rows")
     small = model.count() <= BROADCAST_ROWS
-    joined = numbered.join(F.broadcast(model) if small else model, "gram")
-    return joined.groupBy("_row", *names).agg(F.avg("ratio").alias(into)).drop("_row")
+    each = numbered.select(number, F.explode(grams(F.col(text))).alias("gram"))
+    means = each.join(F.broadcast(model) if small else model, "gram").groupBy(number).agg(F.avg("ratio").alias(into))
+    return numbered.drop(into).join(means, number, "left").drop(number)
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score of every page.
 
-    A fitting rule decides. Other urls are blocked if their score is under the threshold, which is calibrated on the urls
-    that rules accept: a share of LOSS of these lies under it (0 if no rule accepts any). Null urls and urls without ://
+    A fitting rule decides. Other urls are blocked if their score is under the threshold. That is calibrated on one in
+    CALIBRATION (by hash of the url) of those that rules accept, which the models do not learn: a share of LOSS of these lies
+    under it (of all accepted ones, if none of them is set aside; 0 if no rule accepts any). Null urls and urls without ://
     have an empty host and path and are judged by the models as any other; repeated rows and null ids stay, each judged by
     its own url; other columns are not read.
     """
     url = F.col("url")
     rows = with_rule(pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), model_text(url).alias("text")), rules)
-    rows = rows.withColumn("accepted", F.col("rule_verdict") == "allow")
+    fits = F.col("rule_verdict") == "allow"
+    aside = fits & (F.pmod(F.xxhash64("text"), F.lit(CALIBRATION)) == 0)
+    rows = rows.withColumn("aside", aside).withColumn("accepted", F.when(~F.coalesce("aside", F.lit(False)), fits))
     model = fit(rows)
     scored, _ = written(score(rows, model), "url-scores")
-    threshold = scored.where("accepted").agg(F.percentile_approx("score", LOSS, 10_000)).first()[0] or 0.0
+    quantile = lambda some: F.percentile_approx(F.when(some, F.col("score")), LOSS, 10_000)
+    threshold = scored.agg(F.coalesce(quantile(F.col("aside")), quantile(F.col("accepted")), F.lit(0.0))).first()[0]
     verdict = F.coalesce("rule_verdict", F.when(F.col("score") < threshold, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
