@@ -235,9 +235,10 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id"
     n = index.count()
     groups = max(1, -(-n // TREES), min(n, parallel))
     asked = queries.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id").agg(F.min("v").alias("v"))
-    trees = index.select(F.pmod(F.monotonically_increasing_id() + F.shiftright(F.monotonically_increasing_id(), 33), F.lit(groups)).cast("int").alias("g"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("v"), "tree")
+    at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + F.spark_partition_id()
+    trees = index.select(F.pmod(at, F.lit(groups)).cast("int").alias("g"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("v"), "tree")
     each = asked.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(1).alias("kind"), "id", "v", F.lit(None).cast("binary").alias("tree"))
-    rows = trees.unionByName(each).repartition(groups, "g").sortWithinPartitions("g", "kind", "id")
+    rows = trees.unionByName(each).repartitionByRange(groups, "g").sortWithinPartitions("g", "kind", "id")
 
     def search_group(held: list[Tree], some: list[tuple[int, list]]) -> pd.DataFrame:
         vectors = matrix([v for _, v in some])
