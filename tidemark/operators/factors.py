@@ -310,6 +310,14 @@ def wmf_loss(likes: DataFrame, p: DataFrame, q: DataFrame, alpha: float) -> floa
     return float((gram(p) * gram(q)).sum() + liked_part)
 
 
+def score_user(p: DataFrame, q: DataFrame, userid) -> DataFrame:
+    """(itemid, score) of all items for one user; a user without factors raises IndexError."""
+    own = p.where(F.col("userid") == userid)
+    if own.isEmpty():
+        raise IndexError(f"no factors of user {userid}")
+    return q.crossJoin(F.broadcast(own.select(F.col("vec").alias("_p")))).select("itemid", dot("_p", "vec").alias("score"))  # one user
+
+
 def signal_loss(signal: Signal, p: DataFrame, q: DataFrame, gamma: float) -> float:
     """gamma times the squared errors over the cells of a signal: over all cells of profiles from one total a profile, corrected
     at each user's own cells and at those that are blocked."""

@@ -38,7 +38,13 @@ def clusters(y: DataFrame, of: str, k: int, seed: int = 42, threshold: float = L
     active = rows.where("active")
     fits = (KMeans(k=min(k, active.count()), seed=seed + s).fit(active) for s in range(STARTS))
     best = min(fits, key=lambda m: m.summary.trainingCost)
-    return written(best.transform(rows).select(of, F.col("prediction").alias("cluster")), "clusters")
+    return compacted(written(best.transform(rows).select(of, F.col("prediction").alias("cluster")), "clusters"))
+
+
+def compacted(labels: DataFrame) -> DataFrame:
+    """Labels with their clusters numbered anew, without gaps and in the same order."""
+    own = labels.columns[0]
+    return labels.join(F.broadcast(codes(labels, "cluster", "_new")), "cluster").select(own, F.col("_new").cast("int").alias("cluster"))
 
 
 def tokens(y: DataFrame, user_cluster: DataFrame | None = None, item_cluster: DataFrame | None = None, threshold: float = LIKED) -> DataFrame:

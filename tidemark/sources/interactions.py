@@ -57,9 +57,22 @@ def write_log(log: DataFrame, path: str) -> None:
     log.select("userid", "itemid", F.col("ts").alias("timestamp"), "rating").orderBy("timestamp", "userid", "itemid").write.option("header", True).option("timestampNTZFormat", LOG_TIME).csv(path)
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    log = spark.read.schema("userid string, itemid string, timestamp timestamp_ntz, rating double").option("header", True).option("timestampNTZFormat", LOG_TIME).csv(path)
-    return log.withColumnRenamed("timestamp", "ts")
+def read_log(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """A CSV log with a header. Times that cannot be read are an error, or null if not strict."""
+    log = spark.read.schema("userid string, itemid string, timestamp string, rating double").option("header", True).csv(path)
+    return with_times(log.withColumnRenamed("timestamp", "ts"), strict)
+
+
+def with_times(log: DataFrame, strict: bool = True) -> DataFrame:
+    """ts as a time without zone, from ISO text or from seconds since 1970 in UTC. With strict, any that is missing or cannot be
+    read raises ValueError."""
+    text = F.trim(F.col("ts").cast("string"))
+    seconds = F.expr("cast(timestamp_seconds(try_cast(trim(cast(ts AS string)) AS double)) AS timestamp_ntz)")
+    read = seconds if dict(log.dtypes)["ts"] in ("int", "bigint", "double", "float") else F.coalesce(F.try_to_timestamp(text).cast("timestamp_ntz"), seconds)
+    out = log.withColumn("ts", read)
+    if strict and (bad := out.where("ts is null").count()):
+        raise ValueError(f"{bad} times cannot be read")
+    return out
 
 
 def from_cells(spark: SparkSession, cells: Iterable[tuple]) -> DataFrame:
