@@ -12,7 +12,8 @@ from ..storage import written
 def before(df: DataFrame, key: str, weight: str | None = None, into: str = "before") -> DataFrame:
     """df with the sum of weight (1 without) over all rows with a smaller key; keys are unique numbers or times.
 
-    Quantiles cut the keys into ranges, whose sums are one row each; the running sum within a range is a window over that range.
+    Quantiles cut the keys into ranges, at most one a shuffle partition; the driver gets the sum of each. The running sum within
+    a range is a window over that range.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -20,10 +21,14 @@ def before(df: DataFrame, key: str, weight: str | None = None, into: str = "befo
     w = F.col(weight) if weight else F.lit(1)
     bounds = F.array(*(F.lit(c) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<int>")
     ranged = df.withColumn("_range", F.size(F.filter(bounds, lambda b: b <= F.col(key))) if cuts else F.lit(0))
-    sums = ranged.groupBy("_range").agg(F.sum(w).alias("_sum"))
-    base = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    sums = dict(ranged.groupBy("_range").agg(F.sum(w)).collect())
+    total, bases = 0, []
+    for i in range(max(sums, default=0) + 1):
+        bases.append(total)
+        total += sums.get(i) or 0
+    base = F.get(F.array(*(F.lit(x).cast("long") for x in bases)), F.col("_range"))
     within = F.coalesce(F.sum(w).over(Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.join(F.broadcast(base), "_range").withColumn(into, (F.col("_base") + within).cast("long")).drop("_range", "_base")
+    return ranged.withColumn(into, (base + within).cast("long")).drop("_range")
 
 
 def codes(df: DataFrame, key: str, into: str = "idx") -> DataFrame:
