@@ -79,6 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_licenses": op6_licenses,
 }
 
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLE: dict[str, str] = {
     "op2_mtree": """
         WITH usable AS (
@@ -91,4 +94,74 @@ ORACLE: dict[str, str] = {
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM pairs
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
+    "op7_decontaminate": rf"""
+        WITH docs AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS w FROM documents
+        ), items AS (
+            SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+        ), starts AS (
+            SELECT item_id, w, least(len(w), 13) AS n, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM items WHERE len(w) > 0
+        ), windows AS MATERIALIZED (
+            SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS k FROM starts
+        ), places AS (
+            SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs JOIN (SELECT DISTINCT n FROM windows) ON len(w) >= n
+        ), hits AS MATERIALIZED (
+            SELECT r, i, n, item_id FROM (SELECT r, i, n, array_to_string(w[i : i + n - 1], ' ') AS k FROM places) JOIN windows USING (n, k)
+        ), covered AS (
+            SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM hits) GROUP BY r
+        ), found AS (
+            SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS item_id FROM hits) GROUP BY r
+        )
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM docs LEFT JOIN covered USING (r) LEFT JOIN found USING (r)""",
+    "op8_jaccard": rf"""
+        WITH RECURSIVE words AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, doc_id,
+                   coalesce(regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+        ), shingles AS MATERIALIZED (
+            SELECT DISTINCT r, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+        ), sized AS MATERIALIZED (
+            SELECT r, count(*) AS n, sha256(string_agg(s, '  ' ORDER BY s)) AS same FROM shingles GROUP BY r
+        ), classes AS MATERIALIZED (
+            SELECT same, any_value(n) AS n, min(r) AS c, min(doc_id) AS least FROM sized JOIN words USING (r) GROUP BY same
+        ), members AS MATERIALIZED (
+            SELECT r AS c, s FROM shingles WHERE r IN (SELECT c FROM classes)
+        ), shared AS (
+            SELECT a.c AS x, b.c AS y, count(*) AS k FROM members a JOIN members b ON a.s = b.s AND a.c <> b.c GROUP BY a.c, b.c
+        ), links AS MATERIALIZED (
+            SELECT x, y FROM shared JOIN classes a ON a.c = x JOIN classes b ON b.c = y WHERE 100 * k >= 75 * (a.n + b.n - k)
+        ), reach AS (
+            SELECT c, c AS other FROM classes UNION SELECT reach.c, y FROM reach JOIN links ON x = reach.other
+        ), groups AS (
+            SELECT reach.c, min(least) AS component_id FROM reach JOIN classes ON classes.c = reach.other GROUP BY reach.c
+        )
+        SELECT doc_id, coalesce(sized.n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id)::BIGINT AS component_id
+        FROM words LEFT JOIN sized USING (r) LEFT JOIN classes USING (same) LEFT JOIN groups USING (c)""",
+    "op10_repeats": """
+        WITH docs AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), strings AS (
+            SELECT r, doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT r, doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS p FROM docs)
+        ), hashed AS MATERIALIZED (
+            SELECT r, doc_id, p, unhex(s) AS s FROM strings
+        ), firsts AS (
+            SELECT s, min(doc_id) AS least FROM hashed GROUP BY s HAVING count(*) > 1
+        ), later AS (
+            SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM hashed JOIN firsts USING (s) WHERE least < doc_id
+        ), numbered AS (
+            SELECT r, p, sum(CASE WHEN before IS NULL OR p - before > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS run FROM later
+        ), runs AS (
+            SELECT r, min(p) AS start, max(p) + 50 AS stop FROM numbered GROUP BY r, run
+        ), totals AS (
+            SELECT r, sum(stop - start) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r
+        ), edges AS (
+            SELECT r, start, stop FROM runs UNION ALL SELECT r, len(h) // 2, len(h) // 2 FROM docs
+        ), gaps AS (
+            SELECT r, start, coalesce(lag(stop) OVER (PARTITION BY r ORDER BY start, stop), 0) AS since FROM edges
+        ), kept AS (
+            SELECT r, string_agg(substr(h, 2 * since + 1, 2 * (start - since)), '' ORDER BY start, since) AS k FROM gaps JOIN docs USING (r) GROUP BY r
+        )
+        SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256
+        FROM docs JOIN kept USING (r) LEFT JOIN totals USING (r)""",
 }
