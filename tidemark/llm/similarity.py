@@ -385,7 +385,8 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     kept = first.where("shared is not null").groupBy("id", "n").agg(F.sum("shared").alias("shared"))
     least = F.floor((OVER * F.col("n") + UNDER - 1) / UNDER)
     kept = kept.where(F.col("shared") >= F.least(least, F.floor((least + MORE - 1) / MORE)))
-    asked, asked_at = written(documents.where("key is not null").join(kept.select("id"), "id").groupBy("id").agg(F.min("key").alias("key")).select("key").distinct(), "jaccard-keys")
+    leasts = documents.where("n > 0 and key is not null").groupBy("id").agg(F.min("key").alias("least"))  # before any join by id: copies are added up where they lie
+    asked, asked_at = written(leasts.join(kept.select("id"), "id").select(F.col("least").alias("key")).distinct(), "jaccard-keys")
     small = asked.count() <= _BROADCAST
     again = deal(rows.join(F.broadcast(asked) if small else asked, "key", "left_semi"), None).mapInArrow(_second_pass, "id long, n long, shingle long, sets int")
     full = again.groupBy("id", "n").agg(F.array_sort(F.collect_set(F.struct("sets", "shingle"))).alias("s")).where(F.size("s") >= least)
@@ -396,7 +397,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     links, links_at = written(link_families(sets, families.select(F.col("node").alias("id"), F.col("component").alias("family"))), "jaccard-links")
     parts, _ = connected(links)
     drop(spark, asked_at, sets_at, families_at, links_at)
-    classes = documents.where("n > 0 and key is not null").groupBy("id").agg(F.min("key").alias("least")).join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    classes = leasts.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     labels = classes.select("id", "component").join(classes.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("id", "component_id")
     alone = documents.where("n = 0 or key is null").withColumn("component_id", F.col("key"))
     linked = documents.where("n > 0 and key is not null").join(labels, "id").select("key", "n", "id", "component_id")
