@@ -4,13 +4,14 @@ import duckdb
 import pytest
 from tidemark.llm.queries import ORACLE, QUERIES
 
-TABLES = ("documents", "benchmark", "embeddings")
+TABLES = ("documents", "benchmark", "embeddings", "labels")
+OF_VECTORS = {"op2_mtree", "op11_kdtree"}
 
 
 def both(spark, folder, name):
     con = duckdb.connect()
     for t in TABLES:
-        if t == "embeddings" or name != "op2_mtree":
+        if t == "embeddings" or name not in OF_VECTORS:
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet{'' if folder.startswith('/root/testdata') else '/*.parquet'}'")
     want, got = con.execute(ORACLE[name]), QUERIES[name](spark, folder)
     names = [d[0] for d in want.description]
@@ -32,5 +33,6 @@ def test_odd_rows(spark, odd, tmp_path):
     items = [(1, passage), (2, "ONE two"), (3, None), (None, "a b"), (4, " - "), (5, passage + " q"), (10, "one TWO")]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     spark.createDataFrame([(1, [1.0], 0)], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
-    for name in sorted(set(ORACLE) - {"op2_mtree"}):
+    spark.createDataFrame([(5, 1, None), (5, None, 1), (9, 0, 1), (None, 1, 1), (77, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    for name in sorted(set(ORACLE) - OF_VECTORS):
         both(spark, folder, name)

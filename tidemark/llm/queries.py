@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .audit import audit_report
 from .bitpack import token_files
+from .clusters import cluster_report
 from .common import table
 from .decontaminate import leak_report
 from .langid import language_report
 from .licenses import license_report
+from .lines import line_report
 from .mtree import search_report
 from .packing import packing_report
 from .repeats import repeat_report
@@ -66,6 +69,18 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(table(spark, sf_dir, "documents"))
 
 
+def op11_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_mtree": op2_mtree,
@@ -77,12 +92,81 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_repeats": op10_repeats,
     "op8_jaccard": op8_jaccard,
     "op6_licenses": op6_licenses,
+    "op11_kdtree": op11_kdtree,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_lines": op13_lines,
 }
 
 _LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _lloyd(k: int = 40, rounds: int = 5) -> str:
+    """The rounds of op11 as common tables c0, c1, ... of centroids and a0, a1, ... of assignments."""
+    parts = [
+        f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding]::DOUBLE[] AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x) OR abs(x::DOUBLE) >= 262144]) = 0),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v)::INT - 1 AS c, v FROM kept WHERE vec_id IS NOT NULL QUALIFY c < {k})"""
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"""d{n} AS (SELECT r, c, (list_inner_product(k.v, k.v) - 2 * list_inner_product(k.v, o.v) + list_inner_product(o.v, o.v))::BIGINT AS d FROM kept k CROSS JOIN c{n} o),
+        a{n} AS MATERIALIZED (SELECT r, min(d) AS distance, arg_min(c, d * {k} + c) AS cluster FROM d{n} GROUP BY r)""")
+        if n < rounds:
+            parts.append(f"""m{n} AS (SELECT cluster, list(f ORDER BY p) AS v FROM (SELECT cluster, p, floor(sum(x) / count(*)) AS f FROM (SELECT cluster, unnest(v) AS x, unnest(range(64)) AS p FROM a{n} JOIN kept USING (r)) GROUP BY cluster, p) GROUP BY cluster),
+        c{n + 1} AS MATERIALIZED (SELECT c, coalesce(m{n}.v, c{n}.v) AS v FROM c{n} LEFT JOIN m{n} ON cluster = c)""")
+    return ", ".join(parts)
+
+
 ORACLE: dict[str, str] = {
+    "op11_kdtree": f"""
+        WITH {_lloyd()}, totals AS (SELECT cluster, sum(distance)::BIGINT AS cluster_inertia FROM a5 GROUP BY cluster)
+        SELECT vec_id, cluster, distance, cluster_inertia, (SELECT sum(distance)::BIGINT FROM a5) AS inertia,
+               sha256(array_to_string([x::BIGINT FOR x IN c5.v], ',')) AS centroid_sha256
+        FROM a5 JOIN kept USING (r) JOIN totals USING (cluster) JOIN c5 ON c = cluster""",
+    "op12_filter_audit": rf"""
+        WITH texts AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents
+        ), words AS (
+            SELECT doc_id, part, t, regexp_extract_all(t, '[^ 	-
+]+') AS w FROM texts
+        ), failed AS (
+            SELECT part, w.doc_id, [x[1] FOR x IN [['A', (len(w) < 200)::VARCHAR], ['B', (100 * len(list_distinct(w)) < 50 * len(w))::VARCHAR],
+                   ['C', (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t))::VARCHAR],
+                   ['D', regexp_matches(t, '[#$%&*|]')::VARCHAR], ['E', coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), FALSE)::VARCHAR]] IF x[2] = 'true'] AS fails FROM words w
+        ), marks AS (
+            SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+        ), counters AS MATERIALIZED (
+            SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+            FROM failed LEFT JOIN marks USING (doc_id) GROUP BY ALL
+        ), letters AS (
+            SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+        ), orders AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+        ), steps AS (
+            SELECT filter_order, step::INT AS step, substr(filter_order, step::INT, 1) AS x, string_split(left(filter_order, step::INT - 1), '') AS earlier FROM orders CROSS JOIN range(1, 6) t(step)
+        ), judged AS (
+            SELECT part, filter_order, step, x, n, good, toxic, fails, list_contains(fails, x) AS now, list_has_any(fails, earlier) AS gone FROM counters CROSS JOIN steps
+        ), sums AS (
+            SELECT part, filter_order, step, x, coalesce(sum(n) FILTER (NOT now AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (now AND NOT gone), 0)::BIGINT AS removed,
+                   coalesce(sum(n) FILTER (now AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = [x]), 0)::BIGINT AS unique_fails,
+                   coalesce(sum(good) FILTER (now AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (now AND NOT gone), 0)::BIGINT AS toxic_lost FROM judged GROUP BY ALL
+        )
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM sums""",
+    "op13_lines": f"""
+        WITH docs AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+        ), lines AS MATERIALIZED (
+            SELECT r, doc_id, i, l[i] AS line, translate(trim(l[i], {_SPACES}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM docs)
+        ), frequent AS (
+            SELECT k FROM lines WHERE k <> '' GROUP BY k HAVING count(DISTINCT coalesce(doc_id::VARCHAR, '')) >= 10
+        ), marked AS (
+            SELECT r, i, line, frequent.k IS NOT NULL AS gone FROM lines LEFT JOIN frequent USING (k)
+        )
+        SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM marked JOIN docs USING (r) GROUP BY r""",
     "op2_mtree": """
         WITH usable AS (
             SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
