@@ -342,8 +342,23 @@ def signal_loss(signal: Signal, p: DataFrame, q: DataFrame, gamma: float) -> flo
     return gamma * float((shared.agg(F.sum("loss")).first()[0] or 0.0) + rest)
 
 
+def products(u: np.ndarray, i: np.ndarray) -> np.ndarray:
+    return u @ i.T
+
+
+def sigmoids(u: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """Sigmoids of inner products in single precision, in which large ones are equal."""
+    return (1 / (1 + np.exp(-(u @ i.T)))).astype(np.float32)
+
+
 def top_factors(p: DataFrame, q: DataFrame, seen: DataFrame, k: int) -> DataFrame:
-    """(userid, itemid, score, rank): each user's k best unseen items by inner product, ties to smaller ids.
+    """(userid, itemid, score, rank): each user's k best unseen items by inner product, ties to smaller ids."""
+    return top_scored(p, q, seen, k, products)
+
+
+def top_scored(p: DataFrame, q: DataFrame, seen: DataFrame, k: int, score: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(userid, itemid, score, rank): each user's k best unseen items by score(rows of users, rows of items), which gives a matrix;
+    ties to smaller ids.
 
     Users are dealt to groups of about USER_BLOCK, items to blocks of about ITEM_BLOCK. Every group reads the users, then block
     by block what they have seen there and the items, all in order from one shuffle, and holds the k best so far: memory is
@@ -392,7 +407,7 @@ def top_factors(p: DataFrame, q: DataFrame, seen: DataFrame, k: int) -> DataFram
                     gone_user, gone_item = np.searchsorted(own, asked[known]), at[known]
                 some = max(1, (1 << 22) // len(ids))
                 for at in range(0, len(own), some):
-                    scores = factors_[at : at + some] @ v.T
+                    scores = score(factors_[at : at + some], v).astype(np.float64, copy=False)
                     here = (gone_user >= at) & (gone_user < at + some)
                     scores[gone_user[here] - at, gone_item[here]] = -np.inf
                     cut = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)

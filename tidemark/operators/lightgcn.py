@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from ..storage import passing, written
 from . import graph, sampling
 from .factors import _sums, dot, lists_of, vectors_of
 from .feedback import LIKED, liked
+from .peers import Peers, Routes, task_count
 
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
 
@@ -101,6 +104,170 @@ def fit(y: DataFrame, size: int = 16, layers: int = 3, rate: float = 0.001, weig
     return written(smoothed(a, state.select("node", "vec"), layers, size), "smoothed")
 
 
+#: Likes that a barrier task is given; epochs that one job takes at most, and triples that it takes beyond the first epoch.
+LIKES_A_TASK, EPOCHS_A_JOB, TRIPLES_A_JOB = 1 << 17, 10, 1 << 22
+#: Edges whose vectors a task multiplies at a time.
+EDGES = 1 << 15
+_ROWS = "kind int, owner int, a long, b long, c long, at int, at2 int, epoch int, batch int, w double, x array<double>"
+
+
+def fit_in_tasks(y: DataFrame, size: int = 64, layers: int = 3, rate: float = 0.001, weight: float = 1e-4, epochs: int = 1000, seed: int = 42, threshold: float = LIKED, batch_size: int = 2048, losses: list[float] | None = None, tasks: int | None = None) -> DataFrame:
+    """The factors of fit(): one Adam step for every batch_size triples of each epoch. A job takes some epochs, not one step.
+
+    Barrier tasks keep their users and items with their moments, and the edges of their users, from step to step. To propagate,
+    a task fetches each item that its users like once, and sends back one sum for each: an item that everybody likes costs one
+    row a task. A step sends these rows and the items of its triples from task to task; the state is written behind each job,
+    where a lost task begins again. losses gets the mean over each epoch's batches of their loss before the step.
+    """
+    if batch_size < 1 or epochs < 0:
+        raise ValueError("batch_size must be positive")
+    spark = y.sparkSession
+    likes = written(liked(y, threshold), "likes")
+    a = written(graph.adjacency(graph.edges(likes)), "adjacency")
+    items = written(y.select("itemid").distinct(), "items")
+    ready = sampling.prepared(likes, items)
+    nodes = y.select(F.concat(F.lit("u"), "userid").alias("node")).unionByName(y.select(F.concat(F.lit("i"), "itemid").alias("node"))).distinct()
+    state, old = written(_initial(nodes, size, seed), "embeddings"), []
+    n_tasks = tasks or task_count(spark, ready.n_likes, LIKES_A_TASK)
+    n_batches = -(-ready.n_likes // batch_size)
+    together = max(1, min(EPOCHS_A_JOB, TRIPLES_A_JOB // max(1, ready.n_likes)))
+    owner = lambda node: F.pmod(F.xxhash64(node), F.lit(n_tasks)).cast("int")
+    item_owner = lambda c: owner(F.concat(F.lit("i"), c))
+    number = lambda c: F.expr(f"substring({c}, 2)").cast("long")
+    names = [c.split()[0] for c in _ROWS.split(", ")]
+    row = lambda df, **c: df.select(*((c[n] if n in c else F.lit(None)).cast(k).alias(n) for n, k in (x.split(" ", 1) for x in _ROWS.split(", "))))
+    edges = row(a.where(F.col("src").startswith("u")), kind=F.lit(2), owner=owner(F.col("src")), a=number("src"), b=number("dst"), at=owner(F.col("dst")), w=F.col("w"))
+    for first in range(0, epochs if n_batches else 0, together):
+        last = min(epochs, first + together)
+        with passing(spark) as made:
+            made += old
+            rows = row(state, kind=F.when(F.col("node").startswith("u"), 0).otherwise(1), owner=owner(F.col("node")), a=number("node"), x=F.concat("vec", "m", "v")).unionByName(edges)
+            for epoch in range(first, last):
+                d = sampling.draws(likes, items, seed + epoch + 1, ready)
+                rows = rows.unionByName(row(d, kind=F.lit(3), owner=owner(F.concat(F.lit("u"), "userid")), a=F.col("userid"), b=F.col("liked"), c=F.col("other"), at=item_owner("liked"), at2=item_owner("other"), epoch=F.lit(epoch - first), batch=F.floor(F.col("id") / batch_size), w=F.col("id")))
+            run = Training(size, layers, rate, weight, n_batches, first * n_batches, last - first, n_tasks > 1).run
+            trained = written(rows.select(*names).repartitionById(n_tasks, "owner").mapInArrow(run, "kind int, a long, x array<double>", barrier=n_tasks > 1), "trained")
+            if losses is not None:
+                losses += [x for r in trained.where("kind = 2").select("x").collect() for x in r.x]
+            part = lambda k: F.slice("x", k * size + 1, size)
+            state = trained.where("kind < 2").select(F.concat(F.when(F.col("kind") == 0, "u").otherwise("i"), F.col("a").cast("string")).alias("node"), part(0).alias("vec"), part(1).alias("m"), part(2).alias("v"))
+            old = [made.pop()]
+    return written(smoothed(a, state.select("node", "vec"), layers, size), "smoothed")
+
+
+@dataclass(frozen=True)
+class Training:
+    """The task of a job: rows as in _ROWS in, (kind, a, x) of the vectors it keeps out, and from task 0 the losses."""
+
+    size: int
+    layers: int
+    rate: float
+    weight: float
+    n_batches: int
+    number: int
+    epochs: int
+    barrier: bool
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        peers = Peers(BarrierTaskContext.get() if self.barrier else None)
+        held = [b for b in batches if b.num_rows]
+        whole = pa.Table.from_batches(held) if held else pa.table({c.split()[0]: [] for c in _ROWS.split(", ")})
+        kinds = whole.column("kind").to_numpy(zero_copy_only=False)
+
+        def columns(kind: int, *names: str) -> list[np.ndarray]:
+            some = whole.take(pa.array(np.flatnonzero(kinds == kind), pa.int64()))
+            return [some.column(c).to_numpy(zero_copy_only=False).astype(np.float64 if c == "w" else np.int64) for c in names]
+
+        sides = []
+        for kind in (0, 1):
+            (ids,) = columns(kind, "a")
+            at = np.flatnonzero(kinds == kind)
+            x = vectors_of(whole.column("x").take(pa.array(at, pa.int64())).combine_chunks()).reshape(-1, 3, self.size) if len(at) else np.zeros((0, 3, self.size))
+            order = np.argsort(ids)
+            sides.append((ids[order], [np.ascontiguousarray(x[order, c]) for c in range(3)]))
+        (users, of_users), (items, of_items) = sides
+        smooth = self._smoother(peers, users, items, *columns(2, "a", "b", "at", "w"))
+        user, liked_, other, at, at2, epoch, batch, place = columns(3, "a", "b", "c", "at", "at2", "epoch", "batch", "w")
+        step = epoch * self.n_batches + batch
+        order = np.lexsort((place, step))
+        user, liked_, other, at, at2, step = (c[order] for c in (user, liked_, other, at, at2, step))
+        user = np.searchsorted(users, user)
+        bounds = np.searchsorted(step, np.arange(self.epochs * self.n_batches + 1))
+        losses = np.zeros((self.epochs, 2))
+        for s in range(self.epochs * self.n_batches):
+            here = slice(bounds[s], bounds[s + 1])
+            mine, k = user[here], bounds[s + 1] - bounds[s]
+            both = np.concatenate([liked_[here], other[here]])
+            wanted, first, inverse = np.unique(both, return_index=True, return_inverse=True)
+            routes = Routes(peers, wanted, np.concatenate([at[here], at2[here]])[first], items)
+            out_users, out_items = smooth(of_users[0], of_items[0])
+            u, i = out_users[mine], routes.fetch(out_items)[inverse]
+            p, q = i[:k], i[k:]
+            gap = (u * (p - q)).sum(axis=1)
+            n, loss = peers.total(np.array([k, np.logaddexp(0, -gap).sum()]))
+            if not n:
+                continue
+            losses[s // self.n_batches] += (1, loss / n)
+            g = (-1 / (1 + np.exp(gap)) / n)[:, None]
+            outer_users, outer_items = np.zeros((len(users), self.size + 1)), np.zeros((len(items), self.size + 1))
+            np.add.at(outer_users, mine, np.hstack([g * (p - q), np.ones((k, 1))]))
+            back = np.zeros((len(wanted), self.size + 1))
+            np.add.at(back, inverse, np.hstack([np.concatenate([g * u, -g * u]), np.ones((2 * k, 1))]))
+            routes.push(back, outer_items)
+            inner = smooth(outer_users[:, :-1], outer_items[:, :-1])
+            for (vec, m, v), g_, drawn in ((of_users, inner[0], outer_users[:, -1:]), (of_items, inner[1], outer_items[:, -1:])):
+                adam(vec, m, v, g_ + self.weight / n * drawn * vec, self.rate, self.number + s + 1)
+        peers.close()
+        for kind, (ids, (vec, m, v)) in enumerate(sides):
+            for lo in range(0, len(ids), 1 << 12):
+                yield _out(kind, ids[lo : lo + (1 << 12)], np.hstack([x[lo : lo + (1 << 12)] for x in (vec, m, v)]))
+        if peers.me == 0:
+            yield _out(2, np.zeros(1, np.int64), (losses[:, 1] / np.maximum(losses[:, 0], 1))[None])
+
+    def _smoother(self, peers: Peers, users: np.ndarray, items: np.ndarray, src: np.ndarray, dst: np.ndarray, at: np.ndarray, w: np.ndarray):
+        """smooth(rows of users, rows of items): the mean of them and of their propagations, over the edges of all tasks."""
+        halo, first, item = np.unique(dst, return_index=True, return_inverse=True)
+        routes = Routes(peers, halo, at[first], items)
+        user = np.searchsorted(users, src)
+        ways = []
+        for to, of in ((user, item), (item, user)):
+            order = np.lexsort((of, to))
+            ways.append((to[order], of[order], w[order][:, None]))
+
+        def spread(way: tuple[np.ndarray, np.ndarray, np.ndarray], rows: np.ndarray, n: int) -> np.ndarray:
+            to, of, weight = way
+            out = np.zeros((n, self.size))
+            for lo in range(0, len(to), EDGES):
+                here = slice(lo, lo + EDGES)
+                starts = np.flatnonzero(np.diff(to[here], prepend=-1))
+                out[to[here][starts]] += np.add.reduceat(weight[here] * rows[of[here]], starts, axis=0)
+            return out
+
+        def smooth(of_users: np.ndarray, of_items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            u, i = of_users, np.ascontiguousarray(of_items)
+            for _ in range(self.layers):
+                more = of_items.copy()
+                to_users = spread(ways[0], routes.fetch(i), len(users))
+                routes.push(spread(ways[1], u, len(halo)), more)
+                u, i = of_users + to_users, more
+            return u / (self.layers + 1), i / (self.layers + 1)
+
+        return smooth
+
+
+def _out(kind: int, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int32)), pa.array(ids), lists_of(x)], names=["kind", "a", "x"])
+
+
+def adam(x: np.ndarray, m: np.ndarray, v: np.ndarray, g: np.ndarray, rate: float, number: int) -> None:
+    """The number-th step, in place."""
+    m *= BETA1
+    m += (1 - BETA1) * g
+    v *= BETA2
+    v += (1 - BETA2) * g * g
+    x -= rate / (1 - BETA1**number) * m / (np.sqrt(v / (1 - BETA2**number)) + EPSILON)
+
+
 def _step(a: DataFrame, drawn: DataFrame, n: int, state: DataFrame, layers: int, size: int, rate: float, weight: float, number: int) -> DataFrame:
     """The state after one Adam step, the number-th, on n triples (u, p, n)."""
     out = written(smoothed(a, state.select("node", "vec"), layers, size), "smoothed")
