@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tidemark.plans.catalogue import ORACLE, QUERIES, SLOW
+from tidemark.plans.catalogue import FIXTURE_SQL, FIXTURES, ORACLE, QUERIES, SLOW
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -25,13 +25,14 @@ def con():
     return out
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SLOW)))
+@pytest.mark.parametrize("name", sorted((set(QUERIES) | set(FIXTURES)) - set(SLOW)))
 def test_query(spark, con, name):
-    got = QUERIES[name](spark, SF)
+    """Those over all their tables, and those over fixtures: order lines that leave users cold, literals."""
+    got = (QUERIES | FIXTURES)[name](spark, SF)
     rows = got.collect()
     assert rows
-    if name in ORACLE:
-        want = con.execute(ORACLE[name])
+    if sql := (ORACLE | FIXTURE_SQL).get(name):
+        want = con.execute(sql)
         names = [d[0] for d in want.description]
         assert sorted(names) == sorted(got.columns)
         assert cells(rows, got.columns) == cells(want.fetchall(), names)

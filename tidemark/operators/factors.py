@@ -190,15 +190,22 @@ def _signal_sums(signal: Signal, base: DataFrame, key: str, fixed: DataFrame, si
     return base.join(F.broadcast(totals), "profile").select(F.col("itemid").alias("row"), weighed(F.col("s")))
 
 
-def fit_wmf(y: DataFrame, size: int = 8, rate: float = 0.1, alpha: float = 10.0, sweeps: int = 10, seed: int = 42, threshold: float = LIKED, signal: Signal | None = None, gamma: float = 0.0, fit_users: DataFrame | None = None, report_every: int | None = None, report: Callable[[dict], None] | None = None) -> tuple[DataFrame, DataFrame]:
+def fit_wmf(y: DataFrame, size: int = 8, rate: float = 0.1, alpha: float = 10.0, sweeps: int = 10, seed: int = 42, threshold: float = LIKED, signal: Signal | None = None, gamma: float = 0.0, fit_users: DataFrame | None = None, report_every: int | None = None, report: Callable[[dict], None] | None = None, in_tasks: bool = False) -> tuple[DataFrame, DataFrame]:
     """User and item factors. Liked cells weigh 1 + alpha with target 1, all others 1 with target 0; a signal adds its cells with
     weight gamma and their value as target. A sweep is two shuffles of the liked cells and of the signal's own cells; what
     users share of the signal is added profile by profile.
 
     With fit_users (userid) only these move the items' factors; the other users of y are then folded in, items staying as
-    they are. report gets the losses over the fitting users after the first sweep and every report_every.
+    they are. report gets the losses over the fitting users after the first sweep and every report_every. With in_tasks all sweeps
+    are one job of barrier tasks (als.fit()), without fit_users and reports.
     """
     checked_schedule(sweeps, report_every)
+    if in_tasks:
+        from . import als
+
+        if fit_users is not None or report is not None:
+            raise ValueError("barrier tasks neither fold in nor report")
+        return als.fit(y, size, rate, alpha, sweeps, seed, threshold, signal, gamma)
     likes = written(liked(y, threshold), "likes")
     users, items = (written(y.select(F.col(c).cast("long").alias(c)).distinct(), c) for c in ("userid", "itemid"))
     signal = signal if gamma > 0 else None
@@ -269,10 +276,16 @@ def global_bias(cells: DataFrame, b: DataFrame, d: DataFrame) -> float:
     return left.agg(F.avg(F.col("value") - F.col("score") - F.coalesce("_b", F.lit(0.0)) - F.coalesce("_d", F.lit(0.0)))).first()[0] or 0.0
 
 
-def fit_cofactor(y: DataFrame, size: int = 8, rate: float = 0.1, alpha: float = 10.0, gamma: float = 1.0, context_rate: float | None = None, negatives: float = 1.0, sweeps: int = 10, seed: int = 42, threshold: float = LIKED, report_every: int | None = None, report: Callable[[dict], None] | None = None) -> tuple[DataFrame, DataFrame]:
+def fit_cofactor(y: DataFrame, size: int = 8, rate: float = 0.1, alpha: float = 10.0, gamma: float = 1.0, context_rate: float | None = None, negatives: float = 1.0, sweeps: int = 10, seed: int = 42, threshold: float = LIKED, report_every: int | None = None, report: Callable[[dict], None] | None = None, in_tasks: bool = False) -> tuple[DataFrame, DataFrame]:
     """As fit_wmf(), item factors also reproducing shifted PMI with context factors and biases; updates in the order users,
     items, contexts, item biases, context biases, global bias, each from the latest values."""
     checked_schedule(sweeps, report_every)
+    if in_tasks:
+        from . import als
+
+        if report is not None:
+            raise ValueError("barrier tasks do not report")
+        return als.fit(y, size, rate, alpha, sweeps, seed, threshold, None, gamma, context_rate, negatives)
     likes = written(liked(y, threshold), "likes")
     users, items = (written(y.select(F.col(c).cast("long").alias(c)).distinct(), c) for c in ("userid", "itemid"))
     m = written(sppmi(counts(likes), negatives), "sppmi")

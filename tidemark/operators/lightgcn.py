@@ -61,15 +61,19 @@ def _adam(rate: float, first: float, second: float):
     return lambda m, v: rate * m / first / (F.sqrt(v / second) + EPSILON)
 
 
-def fit(y: DataFrame, size: int = 16, layers: int = 3, rate: float = 0.001, weight: float = 1e-4, epochs: int = 10, seed: int = 42, threshold: float = LIKED, batch_size: int = 2048, most_steps: int | None = None, losses: list[float] | None = None) -> DataFrame:
+def fit(y: DataFrame, size: int = 16, layers: int = 3, rate: float = 0.001, weight: float = 1e-4, epochs: int = 10, seed: int = 42, threshold: float = LIKED, batch_size: int = 2048, most_steps: int | None = None, losses: list[float] | None = None, in_tasks: bool = False) -> DataFrame:
     """(node, vec): final propagated factors, nodes named as in graph.edges(). Each epoch draws fresh triples and takes one Adam step
     for every batch_size of them, in the order of the draws, which is random: on the mean of -log sigmoid(score difference) plus
     half the weight times the mean squared norm of the embeddings drawn. A step's tables go with the next one.
 
     A step passes over the whole graph, so steps must not grow with the triples on large graphs: with most_steps an epoch takes
     at most so many, of larger batches, and the rate grows with the square root of the batch, as Adam asks. losses gets the mean
-    loss of each epoch.
+    loss of each epoch. With in_tasks the same steps are taken in barrier tasks (fit_in_tasks()), which is the way for many of them.
     """
+    if in_tasks:
+        if most_steps is not None:
+            raise ValueError("barrier tasks take every step")
+        return fit_in_tasks(y, size, layers, rate, weight, epochs, seed, threshold, batch_size, losses)
     if batch_size < 1 or (most_steps is not None and most_steps < 1):
         raise ValueError("batch_size and most_steps must be positive")
     spark = y.sparkSession

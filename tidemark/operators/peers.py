@@ -119,13 +119,17 @@ class Routes:
         got = self.peers.swap([rows[at] for at in self.places])
         return np.concatenate(got).reshape(-1, rows.shape[1])[self.back]
 
-    def push(self, rows: np.ndarray, into: np.ndarray) -> None:
-        """Adds one row for each wanted id to that id's row at its owner, in the order of tasks."""
+    def deliver(self, rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """One row for each wanted id goes to its owner; what comes back are own rows' places with what each task sent for them."""
         ends = np.cumsum(self.counts)
         mine = rows[self.order]
         got = self.peers.swap([mine[e - c : e] for e, c in zip(ends, self.counts, strict=True)])
-        for at, part in zip(self.places, got, strict=True):
-            into[at] += part.reshape(-1, into.shape[1])  # a task asks for a row once
+        return [(at, part.reshape(-1, rows.shape[1])) for at, part in zip(self.places, got, strict=True)]
+
+    def push(self, rows: np.ndarray, into: np.ndarray) -> None:
+        """Adds one row for each wanted id to that id's row at its owner, in the order of tasks."""
+        for at, part in self.deliver(rows):
+            into[at] += part  # a task asks for a row once
 
 
 def task_count(spark: SparkSession, rows: int, a_task: int) -> int:

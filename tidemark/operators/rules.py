@@ -205,11 +205,11 @@ def _cells(seen: DataFrame) -> str:
 
 
 def full_signal(y: DataFrame, how: str = "row_max", k_user: int = 1, k_item: int = 1, min_support: float = 0.0, min_confidence: float = 0.0, min_lift: float = 0.0, seed: int = 42) -> Signal:
-    """The normalised signal of all three families of rules."""
+    """The normalised signal of all three families of rules, in single precision."""
     checked(k_user, k_item, min_support, min_confidence, min_lift, how)
     t = written(tokens(y, clusters(y, "userid", k_user, seed), clusters(y, "itemid", k_item, seed)), "tokens")
     found = written(rules(y, t, min_support, min_confidence, min_lift), "rules")
-    return factored(t, found, seen(y)).normalised(how)
+    return factored(t, found, seen(y)).normalised(how).quantised()
 
 
 def checked(k_user: int, k_item: int, min_support: float, min_confidence: float, min_lift: float, how: str) -> None:

@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from contextvars import ContextVar
+from urllib.parse import quote
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cooccurrence, factors, feedback, graph, lightgcn, ranking, rules, sampling, split
+from ..operators import cooccurrence, factors, feedback, graph, lightgcn, neumf, ranking, rules, sampling, split
 from ..operators.positions import codes
 from ..sources import interactions as log
-from ..storage import written
-from .search import random_search, sample_table
+from ..storage import shared_dir, written
+from . import reports
+from .models import MODELS, Stages, fit_model, fit_signal
+from .search import Fit, best_of, mean_sd, planned, random_search, resumed, sample_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: Not for the driver: the same queries over fixture I2, and queries over literals, with their SQL. Tests run them.
+FIXTURES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+FIXTURE_SQL: dict[str, str] = {}
 
-# What the log of the SQL keeps of the order lines: a seventh of them (fixture I2, for cold users).
+# What the fixture keeps of the order lines: a seventh of them, for cold users.
 _FIRST_LINES = " WHERE l_linenumber = 1"
 _whole: ContextVar[bool] = ContextVar("whole", default=False)
 
@@ -35,17 +42,19 @@ def _over_whole_log(f):
     return run
 
 
-def query(sql: str | None = None, whole: bool = True):
-    """Registers a query. One whose SQL takes fixture I2 stays as its SQL is and, if whole, gets a sibling whole_... over all
-    order lines, with the same SQL less the filter; one without SQL takes all order lines."""
+def query(sql: str | None = None, whole: bool = True, fixture: bool = False):
+    """Registers a query. One whose SQL takes fixture I2 is a fixture, and registered over all order lines as whole_..., with the
+    same SQL less the filter (unless whole is false); one without SQL takes all order lines."""
 
     def add(f):
-        if sql:
-            QUERIES[f.__name__], ORACLE[f.__name__] = f, sql
-            if whole and _FIRST_LINES in sql:
+        if sql and (fixture or _FIRST_LINES in sql):
+            FIXTURES[f.__name__], FIXTURE_SQL[f.__name__] = f, sql
+            if whole and not fixture:
                 QUERIES[f"whole_{f.__name__}"], ORACLE[f"whole_{f.__name__}"] = _over_whole_log(f), sql.replace(_FIRST_LINES, "")
+        elif sql:
+            QUERIES[f.__name__], ORACLE[f.__name__] = f, sql
         else:
-            QUERIES[f.__name__] = _over_whole_log(f)
+            (FIXTURES if fixture else QUERIES)[f.__name__] = _over_whole_log(f)
         return f
 
     return add
@@ -244,6 +253,17 @@ def eval_unknown_users(spark, sf_dir):
     return ahead.join(fit.select("userid").distinct(), "userid", "left_anti").select("userid", "itemid", "ts", "rating")
 
 
+_EARLY = FIT.replace(_FIRST_LINES, "").replace("0.7::DOUBLE", "0.05::DOUBLE").replace("0.1::DOUBLE", "0.15::DOUBLE").replace("part IN ('train', 'val')", "part = 'train'").replace("part = 'test'", "part = 'val'")
+
+
+@query(f"WITH {_EARLY} SELECT userid, itemid, ts, rating FROM ahead WHERE userid NOT IN (SELECT userid FROM fit)")
+def whole_eval_unknown_users(spark, sf_dir):
+    """Over all order lines with the first twentieth to fit on, by which not every user has come."""
+    log_ = written(log.earliest(log.dense(spark, sf_dir)), "log")
+    fit, ahead = split.stage(split.labelled(log_, (0.05, 0.15, 0.8)), final=False)
+    return ahead.join(fit.select("userid").distinct(), "userid", "left_anti").select("userid", "itemid", "ts", "rating")
+
+
 @query(f"WITH {FIT} SELECT userid, itemid, ts, rating FROM known")
 def eval_known_pairs(spark, sf_dir):
     return split.known_events(*split.stage(_split(spark, sf_dir))).select("userid", "itemid", "ts", "rating")
@@ -532,26 +552,34 @@ def _fitted(spark, sf_dir, fit):
 
 @query()
 def wmf_fit_scores(spark, sf_dir):
-    return _fitted(spark, sf_dir, lambda y: factors.fit_wmf(y, sweeps=10))
+    return _fitted(spark, sf_dir, lambda y: factors.fit_wmf(y, sweeps=10, in_tasks=True))
 
 
 @query()
 def signal_wmf_fit_scores(spark, sf_dir):
-    return _fitted(spark, sf_dir, lambda y: factors.fit_wmf(y, sweeps=10, signal=rules.full_signal(y), gamma=0.5))
+    return _fitted(spark, sf_dir, lambda y: factors.fit_wmf(y, sweeps=10, signal=rules.full_signal(y), gamma=0.5, in_tasks=True))
 
 
 @query()
 def cofactor_fit_scores(spark, sf_dir):
-    return _fitted(spark, sf_dir, lambda y: factors.fit_cofactor(y, sweeps=10))
+    return _fitted(spark, sf_dir, lambda y: factors.fit_cofactor(y, sweeps=10, in_tasks=True))
 
 
 @query()
 def lightgcn_scores(spark, sf_dir):
-    """Scores are sigmoids in single precision, whose ties fall back to the item's order."""
+    """One Adam step for every 2,048 triples. Scores are sigmoids in single precision, whose ties fall back to the item's order."""
+    y, users, goal = _ranks(spark, sf_dir)
+    p, q = lightgcn.factors_of(lightgcn.fit(y, size=32, layers=2, epochs=30, in_tasks=True))
+    top = factors.top_scored(p.join(users.select("userid"), "userid", "left_semi"), q, feedback.seen(y), 10, factors.sigmoids)
+    return top.select("userid", "itemid", F.round(F.col("score").cast("float"), 6).alias("score"), "rank")
+
+
+@query()
+def neumf_scores(spark, sf_dir):
+    """One Adam step for every 256 samples of each of ten epochs; sigmoids in single precision, as above."""
     y, users, goal = _ranks(spark, sf_dir)
-    p, q = lightgcn.factors_of(lightgcn.fit(y, size=32, layers=2, epochs=30, most_steps=1))
-    top = factors.top_factors(p.join(users.select("userid"), "userid", "left_semi"), q, feedback.seen(y), 10)
-    return top.select("userid", "itemid", F.round((1 / (1 + F.exp(-F.col("score")))).cast("float"), 6).alias("score"), "rank")
+    top = neumf.fit(y, epochs=10).top(users, feedback.seen(y), 10)
+    return top.select("userid", "itemid", F.round(F.col("score").cast("float"), 6).alias("score"), "rank")
 
 
 @query()
@@ -575,36 +603,18 @@ def kmeans_vectors(spark, sf_dir):
 
 
 # ---- search
-@query()
+@query(fixture=True)
 def hyperparam_samples(spark, sf_dir):
     return sample_table(spark, 20)
 
 
-def fit_model(y, model, settings):
-    """User and item factors of a model at the settings that the search drew. LightGCN takes an epoch's batches in one step,
-    with its rate scaled to that: a step passes over the whole graph."""
-    x = settings
-    if model == "lightgcn":
-        return lightgcn.factors_of(lightgcn.fit(y, x["latent"], x["n_layers"], x["learning_rate"], x["lambda_rate"], x["epochs"], x["random_state"], batch_size=x["batch_size"], most_steps=1))
-    common = {"size": x["latent"], "rate": x["lambda_rate"], "alpha": x["alpha"], "sweeps": x["n_sweeps"], "seed": x["random_state"]}
-    if model == "cofactor":
-        return factors.fit_cofactor(y, gamma=x["gamma"], context_rate=x["lambda_context_rate"], negatives=x["negative_samples"], **common)
-    if model == "signal_wmf":
-        signal = rules.full_signal(y, x["normalize"], x["k_user"], x["k_item"], x["min_support"], x["min_confidence"], x["min_lift"], x["random_state"])
-        return factors.fit_wmf(y, signal=signal, gamma=x["gamma"], **common)
-    if model != "wmf":
-        raise ValueError(model)
-    return factors.fit_wmf(y, **common)
-
-
 def _search(spark, sf_dir, models):
     y, target = (written(x, "window") for x in split.fit_and_eval(*split.stage(_split(spark, sf_dir), final=False)))
     users, goal = (written(x, "eligible") for x in ranking.eligible(y, target))
     sizes = written(ranking.list_sizes(users.select("userid"), y, feedback.seen(y)), "sizes")
 
     def score(model, settings):
-        p, q = fit_model(y, model, settings)
-        top = factors.top_factors(p.join(users.select("userid"), "userid", "left_semi"), q, feedback.seen(y), 10)
+        top = fit_model(y, model, settings).top(users, feedback.seen(y), 10)
         return ranking.ndcg(top, users, goal, sizes, (10,)).where("grp = 'all'").first().ndcg
 
     return random_search(spark, "whole", score, models, rounds=10)
@@ -626,27 +636,93 @@ def wmf_search(spark, sf_dir):
 SLOW = ("wmf_search",)
 
 
+#: What search_scores takes: rounds and seeds.
+_ROUNDS, _SEEDS = 1, (42, 43)
+SCORES = "dataset string, model string, seed int, round int, settings string, score double"
+
+
+def _logs(spark, sf_dir) -> Stages:
+    """The two logs of the driver's tables."""
+    return Stages({"order-lines": log.earliest(log.dense(spark, sf_dir)), "events": log.earliest(log.events(spark, sf_dir).na.drop())})
+
+
+def _search_folder(spark, sf_dir, name) -> str:
+    return f"{shared_dir(spark)}/search/{quote(sf_dir, safe='')}/{name}"
+
+
+def searched(spark, stages: Stages, folder: str, rounds: int = _ROUNDS, seeds: tuple[int, ...] = _SEEDS, models: tuple[str, ...] = MODELS, together: int = 8) -> DataFrame:
+    """(dataset, model, seed, round, settings, score): NDCG at 10 of the validation window for every fit of a search."""
+    stages.ready(final=False)
+
+    def score(fit):
+        x = stages.windows(fit.dataset, False)
+        return spark.createDataFrame([(fit.dataset, fit.model, fit.seed, fit.round, fit.settings, float(x.score(fit_model(x.y, fit.model, json.loads(fit.settings)))))], SCORES)
+
+    return resumed(spark, folder, planned(stages.logs, models, rounds, seeds), score, SCORES, together)
+
+
+def tested(spark, stages: Stages, best: DataFrame, folder: str, cutoffs: tuple[int, ...] = ranking.CUTOFFS, together: int = 8) -> DataFrame:
+    """Rows of the test window for the best settings (dataset, model, seed, round, score, settings), refitted on train and validation."""
+    stages.ready(final=True)
+    fits = [Fit(r.dataset, r.model, r.seed, r.round, r.settings) for r in best.collect()]  # one for each dataset, model and seed
+    schema = "dataset string, round int, settings string, " + reports.test_schema(cutoffs)
+
+    def row(fit):
+        x, settings = stages.windows(fit.dataset, True), json.loads(fit.settings)
+
+        def refit(y, phases):
+            if fit.model != "signal_wmf":
+                return fit_model(y, fit.model, settings)
+            with phases.phase("signal"):
+                signal = fit_signal(y, settings)
+            return fit_model(y, fit.model, settings, signal)
+
+        got = reports.test_row(x, fit.dataset, fit.model, fit.seed, refit, cutoffs)
+        return got.select(F.lit(fit.dataset).alias("dataset"), F.lit(fit.round).alias("round"), F.lit(fit.settings).alias("settings"), *(F.col(f"`{c}`") for c in got.columns))
+
+    return reports.ordered(resumed(spark, folder, fits, row, schema, together).drop("dataset"), cutoffs)
+
+
+@query()
+def search_scores(spark, sf_dir):
+    """A round of each of six models on two logs for two seeds, each at all its drawn settings."""
+    return searched(spark, _logs(spark, sf_dir), _search_folder(spark, sf_dir, "scores"))
+
+
+@query()
+def search_best(spark, sf_dir):
+    """The best settings of each log, model and seed, from the rows of search_scores, which are kept."""
+    return best_of(search_scores(spark, sf_dir))
+
+
+@query()
+def search_mean_sd(spark, sf_dir):
+    return mean_sd(best_of(search_scores(spark, sf_dir)))
+
+
+@query()
+def search_tested(spark, sf_dir):
+    """The test window's row for each of these best settings."""
+    stages = _logs(spark, sf_dir)
+    best = best_of(searched(spark, stages, _search_folder(spark, sf_dir, "scores")))
+    return tested(spark, stages, best, _search_folder(spark, sf_dir, "tested"))
+
+
 # ---- reports, on literal results
 _RESULTS = [("d1", "a", 42, 1, 0.2), ("d1", "a", 42, 2, 0.2), ("d1", "a", 43, 1, 0.25), ("d1", "b", 42, 1, 0.1), ("d1", "b", 43, 1, float("nan")), ("d1", "b", 43, 2, 0.4), ("d2", "a", 42, 1, 0.7)]
 _VALUES = ", ".join(f"('{d}', '{m}', {s}, {r}, {'NULL' if v != v else v}::DOUBLE)" for d, m, s, r, v in _RESULTS)
 _BEST = f"r AS (SELECT * FROM (VALUES {_VALUES}) t(dataset, model, seed, round, score)), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset, model, seed ORDER BY score DESC, round) AS k FROM r WHERE score IS NOT NULL) WHERE k = 1)"
 
 
-def best_of(results: DataFrame) -> DataFrame:
-    """The best round of each dataset, model and seed; the first of equals, never one without a score."""
-    first = F.max_by(F.struct("round", "score"), F.struct("score", -F.col("round"))).alias("x")
-    return results.where("score is not null and not isnan(score)").groupBy("dataset", "model", "seed").agg(first).select("dataset", "model", "seed", "x.round", "x.score")
-
-
 def _results(spark):
     return spark.createDataFrame(_RESULTS, "dataset string, model string, seed int, round int, score double")
 
 
-@query(f"WITH {_BEST} SELECT dataset, model, seed::INT AS seed, round::INT AS round, score FROM best")
+@query(fixture=True, sql=f"WITH {_BEST} SELECT dataset, model, seed::INT AS seed, round::INT AS round, score FROM best")
 def best_config(spark, sf_dir):
     return best_of(_results(spark))
 
 
-@query(f"WITH {_BEST} SELECT dataset, model, round(avg(score), 9) AS mean, round(stddev_samp(score), 9) AS sd, count(DISTINCT seed)::BIGINT AS n_seeds FROM best GROUP BY dataset, model")
+@query(fixture=True, sql=f"WITH {_BEST} SELECT dataset, model, round(avg(score), 9) AS mean, round(stddev_samp(score), 9) AS sd, count(DISTINCT seed)::BIGINT AS n_seeds FROM best GROUP BY dataset, model")
 def results_mean_sd(spark, sf_dir):
-    return best_of(_results(spark)).groupBy("dataset", "model").agg(F.round(F.avg("score"), 9).alias("mean"), F.round(F.stddev_samp("score"), 9).alias("sd"), F.count_distinct("seed").alias("n_seeds"))
+    return mean_sd(best_of(_results(spark)))
