@@ -125,7 +125,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end: int, key: str =
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([name]), pa.array([len(ids)]), pa.array([len(keys)])], names=["part", "number", "file", "n_ids", "n_docs"])
 
         size = 0
-        for batch in pieces(batches, "t"):
+        for batch in pieces(batches, "t", 2 << 20):
             ids, ends = with_end(*own.encode(batch.column(1)), end)
             keys = batch.column(0)
             held.append((ids, np.diff(ends), keys.fill_null(0).to_numpy(), keys.is_valid().to_numpy(zero_copy_only=False)))

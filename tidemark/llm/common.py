@@ -70,7 +70,8 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut between rows so that each holds about most bytes of the column, or one longer row."""
+    """The batches cut between rows so that each holds about most bytes of the column, or one longer row. Memory that Arrow has
+    kept for reuse is given back after the last one: workers outlive their tasks and stand beside those of the next stage."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -80,6 +81,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
             stop = max(start + 1, int(np.searchsorted(ends, ends[start] + most, "right")) - 1)
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -18,6 +18,8 @@ SEQUENCE = 2048
 #: Buckets of a hashed document vector, dimensions that it is projected to, bits of each on the curve, bits that part equal places.
 FEATURES, DIMENSIONS, BITS, TIE_BITS = 256, 4, 10, 20
 _RANGES = 8
+#: Bytes of texts, or of ids, that a task handles at a time.
+_PIECE = 2 << 20
 
 
 def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
@@ -69,7 +71,7 @@ def curve_keys(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def _encoded(tokenizer: str, end: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
-        for batch in pieces(batches, "t"):
+        for batch in pieces(batches, "t", _PIECE):
             ids, ends = with_end(*own.encode(batch.column(1)), end)
             tie = mixed(batch.column(0).fill_null(-1).to_numpy().astype(np.uint64)) >> np.uint64(64 - TIE_BITS)
             key = (curve_keys(ids, ends) << TIE_BITS) | tie.astype(np.int64)
@@ -113,7 +115,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, at = -1, 0
-        for batch in batches:
+        for batch in pieces(batches, "ids", _PIECE):
             out: dict[str, list] = {n: [] for n in names}
             for doc, n, width, ids, r in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "width", "ids", "range")), strict=True):
                 if r != now:
