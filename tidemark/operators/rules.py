@@ -5,13 +5,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..storage import written
+from . import kmeans
 from .feedback import LIKED, liked, seen
 from .positions import codes
 from .ranking import top_popular, top_sparse
@@ -23,22 +22,22 @@ KINDS = ("item", "icl", "ucl")
 NORMALISERS = ("row_max", "log_row_max")
 
 
+def one_rows(y: DataFrame, of: str, threshold: float = LIKED) -> tuple[DataFrame, int]:
+    """(of, ones: sorted numbers of what is liked) of every user or item of y, and how many numbers there are; written."""
+    other = "itemid" if of == "userid" else "userid"
+    numbers = written(codes(y, other), "numbers")
+    own = liked(y, threshold).join(numbers, other).groupBy(of).agg(F.array_sort(F.collect_set("idx")).alias("ones"))
+    none = F.array().cast("array<long>")
+    return written(y.select(of).distinct().join(own, of, "left").select(of, F.coalesce("ones", none).alias("ones")), "rows"), numbers.count()
+
+
 def clusters(y: DataFrame, of: str, k: int, seed: int = 42, threshold: float = LIKED) -> DataFrame | None:
     """(of, cluster) for of = userid or itemid by k-means over sparse rows of likes. Rows without a like teach nothing but
     get a cluster. None, which is all in cluster 0, for k = 1 or without likes."""
-    other = "itemid" if of == "userid" else "userid"
-    likes = liked(y, threshold)
-    if k == 1 or likes.isEmpty():
+    if k == 1 or liked(y, threshold).isEmpty():
         return None
-    numbers = written(codes(y, other), "numbers")
-    n = numbers.count()
-    row = F.udf(lambda at: Vectors.sparse(n, at or [], [1.0] * len(at or [])), VectorUDT())
-    own = likes.join(numbers, other).groupBy(of).agg(F.array_sort(F.collect_set("idx")).alias("at"))
-    rows = written(y.select(of).distinct().join(own, of, "left").select(of, F.col("at").isNotNull().alias("active"), row("at").alias("features")), "rows")
-    active = rows.where("active")
-    fits = (KMeans(k=min(k, active.count()), seed=seed + s).fit(active) for s in range(STARTS))
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    return compacted(written(best.transform(rows).select(of, F.col("prediction").alias("cluster")), "clusters"))
+    rows, width = one_rows(y, of, threshold)
+    return compacted(kmeans.fit(rows, width, k, STARTS, seed))
 
 
 def compacted(labels: DataFrame) -> DataFrame:

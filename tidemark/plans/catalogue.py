@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cooccurrence, factors, feedback, graph, lightgcn, neumf, ranking, rules, sampling, split
+from ..operators import cooccurrence, factors, feedback, graph, kmeans, lightgcn, neumf, ranking, rules, sampling, split
 from ..operators.positions import codes
 from ..sources import interactions as log
 from ..storage import shared_dir, written
@@ -412,6 +412,45 @@ def rules_ndcg(spark, sf_dir):
     return ranking.ndcg(top, users, goal, ranking.list_sizes(users.select("userid"), y, feedback.seen(y)))
 
 
+_USERS_BY, _ITEMS_BY = 3, 2
+
+
+def _cluster_sql(of: str, other: str, k: int, name: str) -> str:
+    """Clusters of users or items by the likes of the first so many of them as centres: the nearest, the smaller number of equals."""
+    return f"""{name}_first AS (SELECT {of} AS c, row_number() OVER (ORDER BY {of}) - 1 AS k FROM (SELECT DISTINCT {of} FROM likes) ORDER BY {of} LIMIT {k}),
+  {name}_n AS (SELECT {of}, count(*) AS n FROM likes GROUP BY {of}),
+  {name}_met AS (SELECT a.{of}, f.k, count(*) AS n FROM likes a JOIN likes b ON a.{other} = b.{other} JOIN {name}_first f ON f.c = b.{of} GROUP BY ALL),
+  {name}_far AS (SELECT y.{of}, f.k, coalesce(n.n, 0) + c.n - 2 * coalesce(m.n, 0) AS d FROM (SELECT DISTINCT {of} FROM y) y CROSS JOIN {name}_first f JOIN {name}_n c ON c.{of} = f.c
+    LEFT JOIN {name}_n n ON n.{of} = y.{of} LEFT JOIN {name}_met m ON m.{of} = y.{of} AND m.k = f.k),
+  {name} AS (SELECT {of}, dense_rank() OVER (ORDER BY k) - 1 AS cluster FROM (SELECT {of}, arg_min(k, d * {k} + k) AS k FROM {name}_far GROUP BY {of}))"""
+
+
+_CLUSTERED = RULES.replace("tokens AS (", f"{_cluster_sql('userid', 'itemid', _USERS_BY, 'by_user')}, {_cluster_sql('itemid', 'userid', _ITEMS_BY, 'by_item')}, tokens AS (", 1).replace("SELECT DISTINCT userid, 'ucl', 0 FROM y", "SELECT userid, 'ucl', cluster FROM by_user").replace("SELECT DISTINCT userid, 'icl', 0 FROM likes", "SELECT DISTINCT userid, 'icl', cluster FROM likes JOIN by_item USING (itemid)")
+
+
+def _first_rows(y, of, k):
+    """The clusters of _cluster_sql()."""
+    rows, width = rules.one_rows(y, of)
+    first = [r.ones for r in rows.where(F.size("ones") > 0).orderBy(of).limit(k).collect()]
+    return rules.compacted(kmeans.nearest(rows, width, first))
+
+
+@query(f"WITH {GOAL}, {SIGNAL.replace(RULES, _CLUSTERED).replace('KINDS', ALL_KINDS).removeprefix(FIT + ', ')}, r AS (SELECT userid, itemid, round(s, 9) AS s FROM signal){_top(200, 'coalesce(r.s, 0)', 'LEFT JOIN r ON r.userid = u.userid AND r.itemid = i.itemid')}{NDCG}")
+def clustered_rules_ndcg(spark, sf_dir):
+    """rules_ndcg with several clusters of users and of items, around fixed centres."""
+    y, users, goal = _ranks(spark, sf_dir)
+    t = written(rules.tokens(y, _first_rows(y, "userid", _USERS_BY), _first_rows(y, "itemid", _ITEMS_BY)), "tokens")
+    top = rules.factored(t, written(rules.rules(y, t), "rules"), feedback.seen(y)).top(users.select("userid"), y, 200)
+    return ranking.ndcg(top, users, goal, ranking.list_sizes(users.select("userid"), y, feedback.seen(y)))
+
+
+@query()
+def like_clusters(spark, sf_dir):
+    """Clusters of users by what they like, the best of ten starts."""
+    y = _final(spark, sf_dir)[0]
+    return rules.clusters(y, "userid", 5)
+
+
 # ---- co-occurrence
 def _counts(spark, sf_dir):
     return cooccurrence.counts(feedback.liked(_final(spark, sf_dir)[0]))
