@@ -140,10 +140,15 @@ def _scan(bench):
     return scan
 
 
-def blocks_of(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[list]:
-    """The items with a text and an id, in blocks of about most bytes, one of which the driver holds at a time."""
+#: Stands for a null item id in blocks; no list of ids holds it.
+NAMELESS = -(1 << 63)
+
+
+def blocks_of(benchmark: DataFrame, item: str, text: str, most: int, nameless: bool = False) -> Iterator[list]:
+    """The items with a text and, unless nameless, an id, in blocks of about most bytes, one of which the driver holds at a time."""
     held, size = [], 0
-    for r in benchmark.select(F.col(f"`{item}`").cast("long").alias("i"), F.col(f"`{text}`").alias("t")).where("i is not null and t is not null").toLocalIterator():
+    id_ = F.col(f"`{item}`").cast("long")
+    for r in benchmark.select((F.coalesce(id_, F.lit(NAMELESS)) if nameless else id_).alias("i"), F.col(f"`{text}`").alias("t")).where("i is not null and t is not null").toLocalIterator():
         held.append((r.i, r.t))
         size += len(r.t.encode("utf-8", "surrogatepass"))
         if size >= most:
@@ -153,18 +158,18 @@ def blocks_of(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator
         yield held
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", block_bytes: int | None = None) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", block_bytes: int | None = None, nameless: bool = False) -> DataFrame:
     """Per document: key, n_words, spans (in words, end exclusive), items (ids, sorted).
 
     A benchmark that fits one block, the usual case, takes one pass without a shuffle. More blocks take a pass each; the
-    passes meet by key and hash of the text. Null and empty texts have no words; items with a null id or text are left out;
-    items without words match nothing; repeated rows and null keys are judged as any other; other columns are not read.
+    passes meet by key and hash of the text. Null and empty texts have no words; items with a null text are left out,
+    and so are those with a null id, unless nameless: then their windows are spans too, but no id stands for them. Items without words match nothing; repeated rows and null keys are judged as any other; other columns are not read.
     """
     spark = docs.sparkSession
     t = F.col(f"`{text}`")
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("_key"), t.alias("_text"), F.xxhash64(t).alias("_same"))
     passes: list[DataFrame] = []
-    for block in blocks_of(benchmark, item, text, block_bytes or BLOCK_BYTES):
+    for block in blocks_of(benchmark, item, text, block_bytes or BLOCK_BYTES, nameless):
         shared = spark.sparkContext.broadcast(prepare([i for i, _ in block], pa.array([x for _, x in block], pa.string())))
         passes.append(rows.mapInArrow(_scan(shared), _HIT))
     if not passes:
@@ -176,7 +181,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
             out = out.unionAll(more)
         one = out.groupBy("_key", "_same", "n_words").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), (F.count("*") / len(passes)).cast("int").alias("_copies"))
         out = one.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
-    return out.select(F.col("_key").alias(key), "n_words", "spans", "items")
+    items = F.filter("items", lambda x: x != NAMELESS) if nameless else F.col("items")
+    return out.select(F.col("_key").alias(key), "n_words", "spans", items.alias("items"))
 
 
 def covered(spans: str) -> Column:
@@ -186,15 +192,16 @@ def covered(spans: str) -> Column:
     return F.aggregate(F.array_sort(spans), start, step)["n"].cast("long")
 
 
-def leak_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; from find_leaks()."""
-    found = find_leaks(docs, benchmark).withColumn("n_hit", covered("spans"))
+def leak_report(docs: DataFrame, benchmark: DataFrame, nameless: bool = False) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row; from find_leaks(), which says what odd rows give."""
+    found = find_leaks(docs, benchmark, nameless=nameless).withColumn("n_hit", covered("spans"))
     names = F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string"))))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that leak_report() does not call contaminated, with their own columns, repeated rows and null keys."""
-    leaked = leak_report(docs, benchmark).where("contaminated and doc_id is not null").select("doc_id").distinct()
+def clean_documents(docs: DataFrame, benchmark: DataFrame, nameless: bool = False) -> DataFrame:
+    """The documents that leak_report() does not call contaminated, with their own columns, repeated rows and null keys. Null and
+    empty texts stay; no documents give no rows."""
+    leaked = leak_report(docs, benchmark, nameless).where("contaminated and doc_id is not null").select("doc_id").distinct()
     clean = docs.join(leaked, "doc_id", "left_anti")
     return clean.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -194,7 +194,8 @@ def exact(rows: np.ndarray, query: np.ndarray) -> bool:
 
 
 def usable(vector: Column) -> Column:
-    return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    """Whether every component of a vector of doubles has a finite floor(1024 x); beyond 1.75e305 a double has none."""
+    return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * 1024.0) < float("inf")))
 
 
 def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -226,7 +227,7 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id"
 
     Groups of about TREES trees are held by one task each, through which all queries pass QUERY_BLOCK at a time; a group hands
     on its k best for a query, so what is ranked in the end grows with groups and queries, not with rows, and nothing but a
-    count goes through the driver. Vectors that are null or hold null or non-finite components, and null keys, take no part;
+    count goes through the driver. Vectors that are null or hold null or non-finite components, or one over 1.75e305 in size (usable()), and null keys, take no part;
     of repeated queries one is answered; repeated rows are found as often as they stand there. Scores beyond a long are cut to
     its range, then ties again go to smaller keys; no rows or no queries give no rows.
     """
@@ -275,7 +276,7 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id"
 
 
 def search_report(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
-    """The k best of every row for the rows whose id is divisible by every."""
+    """The k best of every row for the rows whose id is divisible by every; top_k() says what odd rows, ties and empty tables give."""
     index, path = written(build_index(vectors), "mtree")
     out, _ = written(top_k(index, vectors.where(F.col("vec_id") % every == 0), k), "mtree-found")
     drop(vectors.sparkSession, path)

@@ -54,7 +54,7 @@ def op9_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), nameless=True)
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +182,7 @@ ORACLE: dict[str, str] = {
         WITH docs AS MATERIALIZED (
             SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS w FROM documents
         ), items AS (
-            SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+            SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL
         ), starts AS (
             SELECT item_id, w, least(len(w), 13) AS n, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM items WHERE len(w) > 0
         ), windows AS MATERIALIZED (
@@ -194,7 +194,7 @@ ORACLE: dict[str, str] = {
         ), covered AS (
             SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM hits) GROUP BY r
         ), found AS (
-            SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS item_id FROM hits) GROUP BY r
+            SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY r
         )
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
