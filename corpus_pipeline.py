@@ -21,7 +21,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words less than a twentieth lies in windows of benchmark items."""
-    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"), nameless=True)
 
 
 def secret_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
