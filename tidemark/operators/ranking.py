@@ -47,9 +47,14 @@ def top_sparse(scores: DataFrame, users: DataFrame, items: DataFrame, seen: Data
     return _numbered(kept.unionByName(fill), k)
 
 
-def eligible(y: DataFrame, target: DataFrame, threshold: float = LIKED) -> tuple[DataFrame, DataFrame]:
-    """(userid, grp) of users with a positive history and a positive target, and their targets."""
+def eligible(y: DataFrame, target: DataFrame, threshold: float = LIKED, members: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(userid, grp) of users with a positive history and a positive target, and their targets.
+
+    With members (userid, grp; a user may be in several groups) users are those of any group that have a positive target."""
     goal = target.where(F.col("y") > threshold).select("userid", "itemid")
+    if members is not None:
+        users = members.select("userid", "grp").distinct().join(goal.select("userid").distinct(), "userid", "left_semi")
+        return users, goal.join(users.select("userid"), "userid", "left_semi")
     history = y.where(F.col("y") > threshold).groupBy("userid").agg(F.count("*").alias("n"))
     users = history.join(goal.select("userid").distinct(), "userid", "left_semi").select("userid", group_of(F.col("n")).alias("grp"))
     return users, goal.join(users.select("userid"), "userid", "left_semi")
@@ -58,7 +63,7 @@ def eligible(y: DataFrame, target: DataFrame, threshold: float = LIKED) -> tuple
 def ndcg(top: DataFrame, users: DataFrame, goal: DataFrame, ranked: DataFrame, cutoffs=CUTOFFS, groups=GROUPS) -> DataFrame:
     """(grp, cutoff, ndcg, n_users) for "all" and every group; 0 for a group without users.
 
-    ranked (userid, n_ranked) says how many items a user's list could hold; the ideal gain counts targets that were masked.
+    users (userid, grp) may hold a user in several groups: it counts in each of them, and once in "all". ranked (userid, n_ranked) says how many items a user's list could hold; the ideal gain counts targets that were masked.
     """
     ks = F.explode(F.array(*map(F.lit, cutoffs))).alias("cutoff")
     hits = top.join(goal, ["userid", "itemid"], "left_semi").select("userid", "rank")
@@ -66,8 +71,10 @@ def ndcg(top: DataFrame, users: DataFrame, goal: DataFrame, ranked: DataFrame, c
     size = goal.groupBy("userid").agg(F.count("*").alias("n_goal"))
     best = F.least("n_goal", F.least(F.col("cutoff").cast("long"), F.col("n_ranked")))
     ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(best, F.lit(1)).cast("int")), F.lit(0.0), lambda acc, r: acc + 1 / F.log2(r + 1.0))
-    per = users.join(size, "userid").join(ranked, "userid").select("userid", "grp", "n_goal", "n_ranked", ks).join(gain, ["userid", "cutoff"], "left").withColumn("value", F.when(best > 0, F.coalesce("dcg", F.lit(0.0)) / ideal).otherwise(0.0))
-    long = per.select("cutoff", "value", F.explode(F.array(F.lit("all"), "grp")).alias("grp"))
+    everyone = users.select("userid").distinct()
+    per = everyone.join(size, "userid").join(ranked.dropDuplicates(["userid"]), "userid").select("userid", "n_goal", "n_ranked", ks).join(gain, ["userid", "cutoff"], "left").withColumn("value", F.when(best > 0, F.coalesce("dcg", F.lit(0.0)) / ideal).otherwise(0.0))
+    grouped = per.join(users.select("userid", "grp").distinct(), "userid")
+    long = per.select("cutoff", "value", F.lit("all").alias("grp")).unionByName(grouped.select("cutoff", "value", "grp"))
     got = long.groupBy("grp", "cutoff").agg(F.avg("value").alias("ndcg"), F.count("*").alias("n_users"))
     frame = users.sparkSession.createDataFrame([(g, k) for g in ("all", *groups) for k in cutoffs], "grp string, cutoff int")
     return frame.join(got, ["grp", "cutoff"], "left").select("grp", "cutoff", F.round(F.coalesce("ndcg", F.lit(0.0)), 9).alias("ndcg"), F.coalesce("n_users", F.lit(0)).cast("long").alias("n_users"))

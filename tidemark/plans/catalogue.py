@@ -326,6 +326,22 @@ def _rules(spark, sf_dir):
     return y, t, rules.rules(y, t)
 
 
+_MEMBERS = NDCG.replace("UNION ALL SELECT grp, cutoff, value FROM per)", "UNION ALL SELECT grp, cutoff, value FROM per UNION ALL SELECT 'even', cutoff, value FROM per WHERE userid % 2 = 0 UNION ALL SELECT 'third', cutoff, value FROM per WHERE userid % 3 = 0)").replace("'interaction_3_plus']) AS grp", "'interaction_3_plus', 'even', 'third', 'interaction_0']) AS grp")
+
+
+@query(f"WITH {GOAL}{_top(200)}{_MEMBERS}")
+def overlapping_groups_ndcg(spark, sf_dir):
+    """mostpop_ndcg with named groups beside those by activity: users are in up to three of them."""
+    y, target = _final(spark, sf_dir)
+    everyone = y.select("userid").distinct()
+    named = feedback.named_members(everyone, {"even": everyone.where("userid % 2 = 0"), "third": everyone.where("userid % 3 = 0")})
+    active = feedback.activity_members(y)
+    users, goal = ranking.eligible(y, target, members=active.unionByName(named.join(active.select("userid"), "userid", "left_semi")))
+    ids = users.select("userid").distinct()
+    top = ranking.top_popular(feedback.popularity(y), ids, feedback.seen(y), 200)
+    return ranking.ndcg(top, users, goal, ranking.list_sizes(ids, y, feedback.seen(y)), groups=(*feedback.GROUPS, "even", "third", feedback.ZERO))
+
+
 @query(f"WITH {RULES} SELECT userid, kind, token FROM tokens")
 def rule_tokens(spark, sf_dir):
     return rules.tokens(_final(spark, sf_dir)[0])
