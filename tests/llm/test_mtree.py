@@ -1,8 +1,6 @@
 import duckdb
 import numpy as np
 import pytest
-
-from tidemark.llm.mtree import search_report
 from tidemark.llm import mtree as M
 from tidemark.llm.queries import ORACLE, op2_mtree
 
@@ -57,5 +55,5 @@ def test_bounds_spare_distances():
 def test_components_without_a_finite_floor(spark):
     """Beyond 1.75e305 the floor of 1024 x is no double: such vectors take no part; just below they do."""
     rows = [(0, [1.0, 1.0]), (100, [1e306, 0.0]), (1, [1e305, 0.0]), (2, [-1.79e308, 1.0]), (3, [0.5, 0.5])]
-    got = search_report(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    got = M.search_report(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(0, 1, 1), (0, 2, 3)] and got[0].score == 2**63 - 1

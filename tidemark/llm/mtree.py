@@ -56,9 +56,9 @@ class Tree:
 
 
 def _power(x: np.ndarray) -> float:
-    """1 for what squares safely, else a power of two that brings x under 1."""
+    """1 for what squares safely, else a power of two that brings x under 2."""
     most = float(np.abs(x).max()) if x.size else 0.0
-    return 1.0 if most < 2.0**400 else 2.0 ** math.frexp(most)[1]
+    return 1.0 if most < 2.0**400 else 2.0 ** min(1023, math.frexp(most)[1])
 
 
 def build(rows: np.ndarray, ids: np.ndarray) -> Tree:
