@@ -7,6 +7,7 @@ from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -355,38 +356,73 @@ def signal_loss(signal: Signal, p: DataFrame, q: DataFrame, gamma: float) -> flo
     return gamma * float((shared.agg(F.sum("loss")).first()[0] or 0.0) + rest)
 
 
+def _by_length(items: DataFrame, blocks: int) -> DataFrame:
+    """(itemid, vec, b): blocks b by falling length, written. Items between two quantiles of the lengths that are more than a block,
+    as equal lengths can be, are dealt to several blocks by hash."""
+    measured = items.withColumn("length", F.sqrt(dot("vec", "vec")))
+    cuts = measured.agg(F.percentile_approx("length", [i / blocks for i in range(1, blocks)], 10_000)).first()[0]
+    bounds = F.array(*map(F.lit, sorted(set(cuts))))
+    ranged = written(measured.select("itemid", "vec", F.size(F.filter(bounds, lambda c: c > F.col("length"))).alias("r")), "lengths")
+    counts, first, starts, parts = dict(ranged.groupBy("r").count().collect()), 0, [], []  # a row a block
+    for r in range(max(counts) + 1):
+        parts.append(max(1, -(-counts.get(r, 0) // ITEM_BLOCK)))
+        starts.append(first)
+        first += parts[-1]
+    part = F.pmod(F.xxhash64("itemid"), F.get(F.array(*map(F.lit, parts)), F.col("r")))
+    return ranged.select("itemid", "vec", (F.get(F.array(*map(F.lit, starts)), F.col("r")) + part).cast("int").alias("b"))
+
+
 def products(u: np.ndarray, i: np.ndarray) -> np.ndarray:
     return u @ i.T
 
 
+def same(reach: np.ndarray) -> np.ndarray:
+    return reach
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    """In single precision, in which large ones are equal."""
+    return (1 / (1 + np.exp(-x))).astype(np.float32)
+
+
 def sigmoids(u: np.ndarray, i: np.ndarray) -> np.ndarray:
-    """Sigmoids of inner products in single precision, in which large ones are equal."""
-    return (1 / (1 + np.exp(-(u @ i.T)))).astype(np.float32)
+    return sigmoid(u @ i.T)
 
 
-def top_factors(p: DataFrame, q: DataFrame, seen: DataFrame, k: int) -> DataFrame:
+def top_factors(p: DataFrame, q: DataFrame, seen: DataFrame, k: int, blocks_scored: Accumulator | None = None) -> DataFrame:
     """(userid, itemid, score, rank): each user's k best unseen items by inner product, ties to smaller ids."""
-    return top_scored(p, q, seen, k, products)
+    return top_scored(p, q, seen, k, products, same, blocks_scored)
 
 
-def top_scored(p: DataFrame, q: DataFrame, seen: DataFrame, k: int, score: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+def top_scored(p: DataFrame, q: DataFrame, seen: DataFrame, k: int, score: Callable[[np.ndarray, np.ndarray], np.ndarray], limit: Callable[[np.ndarray], np.ndarray] | None = None, blocks_scored: Accumulator | None = None) -> DataFrame:
     """(userid, itemid, score, rank): each user's k best unseen items by score(rows of users, rows of items), which gives a matrix;
     ties to smaller ids.
 
     Users are dealt to groups of about USER_BLOCK, items to blocks of about ITEM_BLOCK. Every group reads the users, then block
     by block what they have seen there and the items, all in order from one shuffle, and holds the k best so far: memory is
-    bounded by the two blocks, and nothing goes through the driver but two counts.
+    bounded by the two blocks, and nothing goes through the driver but counts and quantiles.
+
+    limit gives the most that a score can be from the product of the two rows' lengths, and must not fall where that grows. With it
+    items come by falling length, so that a user whose k-th score beats the limit of a block needs no block from there on, and a
+    group none once that holds for all its users. blocks_scored counts blocks that a group did score.
     """
     spark = p.sparkSession
     n_users, n_items = p.count(), q.count()
     groups = max(1, -(-n_users // USER_BLOCK), min(int(spark.conf.get("spark.sql.shuffle.partitions")), n_users))
     blocks = max(1, -(-n_items // ITEM_BLOCK))
     group = F.pmod(F.xxhash64("userid"), F.lit(groups)).cast("int").alias("g")
-    block = F.pmod(F.xxhash64("itemid"), F.lit(blocks)).cast("int").alias("b")
+    placed = q.select(F.col("itemid").cast("long").alias("itemid"), "vec")
+    own = seen.join(p.select("userid"), "userid", "left_semi").select("userid", F.col("itemid").cast("long").alias("itemid"))
+    if limit is None or blocks == 1:
+        block = F.pmod(F.xxhash64("itemid"), F.lit(blocks)).cast("int").alias("b")
+        placed, own = placed.select("itemid", "vec", block), own.select("userid", "itemid", block)
+    else:
+        placed = _by_length(placed, blocks)
+        own = own.join(placed.select("itemid", "b"), "itemid").select("userid", "itemid", "b")
     none = F.array().cast("array<double>").alias("vec")
     users = p.select(group, F.lit(-1).alias("b"), F.lit(0).alias("kind"), F.col("userid").cast("long").alias("userid"), F.lit(0).cast("long").alias("itemid"), "vec")
-    hidden = seen.join(p.select("userid"), "userid", "left_semi").select(group, block, F.lit(1).alias("kind"), F.col("userid").cast("long").alias("userid"), F.col("itemid").cast("long").alias("itemid"), none)
-    items = q.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), block, F.lit(2).alias("kind"), F.lit(0).cast("long").alias("userid"), F.col("itemid").cast("long").alias("itemid"), "vec")
+    hidden = own.select(group, "b", F.lit(1).alias("kind"), F.col("userid").cast("long").alias("userid"), "itemid", none)
+    items = placed.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "b", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("userid"), "itemid", "vec")
     rows = users.unionByName(hidden).unionByName(items).repartition(groups, "g").sortWithinPartitions("g", "b", "kind", "userid", "itemid")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,6 +448,20 @@ def top_scored(p: DataFrame, q: DataFrame, seen: DataFrame, k: int, score: Calla
             if held[2] and len(own):
                 _, ids, v = joined(2)
                 v = np.concatenate(v)
+                left = np.arange(len(own))
+                if limit is not None:
+                    reach = np.sqrt((v * v).sum(axis=1).max()) * np.sqrt((factors_ * factors_).sum(axis=1))
+                    kth = np.full(len(own), -np.inf)
+                    n_kept = np.bincount(kept[0], minlength=len(own))
+                    full = np.flatnonzero(n_kept == k)
+                    kth[full] = kept[2][np.cumsum(n_kept)[full] - 1]
+                    left = np.flatnonzero(kth <= limit(reach * (1 + 1e-9) + 1e-12))  # an equal score may have a smaller id
+                if not len(left):
+                    for rows_ in held.values():
+                        rows_.clear()
+                    return
+                if blocks_scored is not None:
+                    blocks_scored.add(1)
                 gone_user, gone_item = np.zeros(0, np.int64), np.zeros(0, np.int64)
                 if held[1]:
                     asked, item, _ = joined(1)
@@ -419,13 +469,17 @@ def top_scored(p: DataFrame, q: DataFrame, seen: DataFrame, k: int, score: Calla
                     known = ids[at] == item  # what is seen but has no factors is no candidate
                     gone_user, gone_item = np.searchsorted(own, asked[known]), at[known]
                 some = max(1, (1 << 22) // len(ids))
-                for at in range(0, len(own), some):
-                    scores = score(factors_[at : at + some], v).astype(np.float64, copy=False)
+                number = np.full(len(own), -1)
+                number[left] = np.arange(len(left))
+                gone_user, gone_item = number[gone_user], gone_item[number[gone_user] >= 0]
+                gone_user = gone_user[gone_user >= 0]
+                for at in range(0, len(left), some):
+                    scores = score(factors_[left[at : at + some]], v).astype(np.float64, copy=False)
                     here = (gone_user >= at) & (gone_user < at + some)
                     scores[gone_user[here] - at, gone_item[here]] = -np.inf
                     cut = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
                     u, i = np.nonzero((scores >= cut[:, None]) & (scores > -np.inf))
-                    kept = [np.concatenate([a, b]) for a, b in zip(kept, firsts(u + at, ids[i], scores[u, i]), strict=True)]
+                    kept = [np.concatenate([a, b]) for a, b in zip(kept, firsts(left[u + at], ids[i], scores[u, i]), strict=True)]
                 kept = firsts(*kept)
             for rows_ in held.values():
                 rows_.clear()

@@ -625,7 +625,7 @@ def lightgcn_scores(spark, sf_dir):
     """One Adam step for every 2,048 triples. Scores are sigmoids in single precision, whose ties fall back to the item's order."""
     y, users, goal = _ranks(spark, sf_dir)
     p, q = lightgcn.factors_of(lightgcn.fit(y, size=32, layers=2, epochs=30, in_tasks=True))
-    top = factors.top_scored(p.join(users.select("userid"), "userid", "left_semi"), q, feedback.seen(y), 10, factors.sigmoids)
+    top = factors.top_scored(p.join(users.select("userid"), "userid", "left_semi"), q, feedback.seen(y), 10, factors.sigmoids, factors.sigmoid)
     return top.select("userid", "itemid", F.round(F.col("score").cast("float"), 6).alias("score"), "rank")
 
 
