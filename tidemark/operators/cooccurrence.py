@@ -8,10 +8,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: A history longer than this is cut into blocks of about this length, whose pairs are rows and tasks of their own.
+BLOCK = 2048
+
+
+def met(left: DataFrame, right: DataFrame, block: int | None = None) -> DataFrame:
+    """left and right joined by userid, a user's pairs being dealt by blocks of both sides, so that no task has to make all pairs
+    of a heavy user. Of a user with b blocks a row is copied b times; others are copied nowhere."""
+    block = block or BLOCK
+    heavy = right.groupBy("userid").agg(F.count("*").alias("_n")).where(F.col("_n") > block).select("userid", F.ceil(F.col("_n") / block).cast("int").alias("_parts"))
+
+    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+        rest = [c for c in side.columns if c != "userid"]
+        parts = F.coalesce("_parts", F.lit(1))
+        numbered = side.join(heavy, "userid", "left").select(*side.columns, F.pmod(F.xxhash64(*rest), parts).cast("int").alias(own), parts.alias("_parts"))
+        return numbered.select(*side.columns, own, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias(other))
+
+    return dealt(left, "_l", "_r").join(dealt(right, "_r", "_l"), ["userid", "_l", "_r"]).drop("_l", "_r")
+
+
 def counts(likes: DataFrame) -> DataFrame:
     """(i, j, n): users who like both, in both directions; no item with itself."""
     left, right = likes.select("userid", F.col("itemid").alias("i")), likes.select("userid", F.col("itemid").alias("j"))
-    half = left.join(right, "userid").where("i < j").groupBy("i", "j").agg(F.count("*").alias("n"))
+    half = met(left, right).where("i < j").groupBy("i", "j").agg(F.count("*").alias("n"))
     return half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "n"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..storage import written
 from . import kmeans
+from .cooccurrence import met
 from .feedback import LIKED, liked, seen
 from .positions import codes
 from .ranking import top_popular, top_sparse
@@ -67,8 +68,8 @@ def token_counts(t: DataFrame) -> DataFrame:
 def pairs(t: DataFrame) -> DataFrame:
     """(kind, token, itemid, n): users with the token who like the item, another one than itself."""
     items = t.where("kind = 'item'").select("userid", F.col("token").alias("itemid"))
-    met = t.join(items, "userid").where("not (kind = 'item' and token = itemid)")
-    return met.groupBy("kind", "token", "itemid").agg(F.count("*").alias("n"))
+    pairs_ = met(t, items).where("not (kind = 'item' and token = itemid)")
+    return pairs_.groupBy("kind", "token", "itemid").agg(F.count("*").alias("n"))
 
 
 def rules(y: DataFrame, t: DataFrame, min_support: float = 0.0, min_confidence: float = 0.0, min_lift: float = 0.0) -> DataFrame:
