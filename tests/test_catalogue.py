@@ -25,7 +25,11 @@ def con():
     return out
 
 
-@pytest.mark.parametrize("name", sorted((set(QUERIES) | set(FIXTURES)) - set(SLOW)))
+# Fixtures on which cold users or literals tell; the others run the code of their whole_ siblings.
+COLD = ("activity", "best_config", "clustered", "eda", "eval", "event_log", "feedback", "hyperparam", "mostpop_ndcg", "ndcg", "overlapping", "results", "rules_ndcg", "rules_only", "split", "user_dim")
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SLOW)) + sorted(n for n in FIXTURES if n.startswith(COLD)))
 def test_query(spark, con, name):
     """Those over all their tables, and those over fixtures: order lines that leave users cold, literals."""
     got = (QUERIES | FIXTURES)[name](spark, SF)
