@@ -26,7 +26,7 @@ def con():
 
 
 # Fixtures on which cold users or literals tell; the others run the code of their whole_ siblings.
-COLD = ("activity", "best_config", "clustered", "eda", "eval", "event_log", "feedback", "hyperparam", "mostpop_ndcg", "ndcg", "overlapping", "results", "rules_ndcg", "rules_only", "split", "user_dim")
+COLD = ("best_config", "eda", "eval", "feedback", "hyperparam", "ndcg", "results", "split")
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SLOW)) + sorted(n for n in FIXTURES if n.startswith(COLD)))
