@@ -4,9 +4,10 @@ import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import cooccurrence, factors, feedback, graph, lightgcn, ranking, rules, sampling, split
-from tidemark.operators.positions import before, codes
+from tidemark.operators.positions import before, codes, numbered
 from tidemark.sources import interactions as log
 
 
@@ -83,6 +84,20 @@ def test_ndcg_by_hand(spark):
     assert got["interaction_1", 1].n_users == 1 and got["interaction_3_plus", 1].ndcg == 0.0
 
 
+def test_a_long_head_is_numbered_by_ranges(spark, monkeypatch):
+    """The same lists from a window and from ranges, with ties, for all users and profile by profile; no window over all rows."""
+    scores = spark.range(300).selectExpr("id % 3 AS profile", "id AS itemid", "cast(id % 7 AS double) AS score").repartition(3)
+    users = spark.range(9).selectExpr("id AS userid", "id % 3 AS profile")
+    seen = spark.range(300).selectExpr("id % 2 AS userid", "id AS itemid").where("userid = 0 or itemid % 5 = 0")
+    rows = lambda by: sorted(map(tuple, ranking.top_popular(scores, users, seen, 4, by).collect()))
+    want = [rows(None), rows("profile")]
+    monkeypatch.setattr(ranking, "HEAD", 0)
+    assert [rows(None), rows("profile")] == want
+    places = numbered(scores, ["profile"], [F.desc("score"), F.asc("itemid")])
+    assert "SinglePartition" not in places._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["at"] for r in places.where("profile = 1").collect()) == list(range(1, 101))
+
+
 def test_sparse_scores_fall_back_to_item_order(spark):
     items = spark.createDataFrame([(i,) for i in range(10, 20)], "itemid long")
     users = spark.createDataFrame([(1,), (2,)], "userid long")

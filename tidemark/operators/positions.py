@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -46,3 +46,18 @@ def codes(df: DataFrame, key: str, into: str = "idx") -> DataFrame:
     sums = ranged.groupBy("_range").agg(F.count("*").alias("_sum"))
     base = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
     return ranged.join(F.broadcast(base), "_range").select(key, (F.col("_base") + F.col("_at")).cast("long").alias(into))
+
+
+def numbered(df: DataFrame, by: list[str], order: list[Column], into: str = "at") -> DataFrame:
+    """df with each row's place, from 1, among those with the same by in an order without ties.
+
+    Rows are dealt by ranges of by and order, sorted and written once; a row's place is what earlier ranges hold of its by and
+    its place within its range. What is added up has a row for each range and each by.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *by, *order).sortWithinPartitions(*by, *order)
+    placed = written(dealt.withColumn("_id", F.monotonically_increasing_id()), "places").withColumn("_range", F.shiftright("_id", 33))
+    parts = placed.groupBy("_range", *by).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    earlier = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    base = parts.select("_range", *by, (F.coalesce(earlier, F.lit(0)) + 1 - F.col("_first")).alias("_base"))
+    return placed.join(base, ["_range", *by]).select(*df.columns, (F.col("_base") + F.col("_id")).alias(into))

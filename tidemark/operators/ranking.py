@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .feedback import GROUPS, LIKED, group_of
-from .positions import codes
+from .positions import codes, numbered
 
 CUTOFFS = (10, 20, 50, 100, 200)
+#: A head of so many items is numbered in a window, before which each task keeps no more than these; a longer one by ranges.
+HEAD = 1000
 
 
 def _numbered(rows: DataFrame, k: int) -> DataFrame:
@@ -21,13 +23,15 @@ def top_popular(scores: DataFrame, users: DataFrame, seen: DataFrame, k: int, pr
     """(userid, itemid, score, rank) where all users, or all of one profile, share the item scores.
 
     A user who has seen s items needs the first k + s of the common order alone, so nothing like users x items is made: only
-    the head of an order, as long as the longest of these, is numbered, and users meet it by number.
+    the head of an order, as long as the longest of these, is asked for, and users meet it by number. A user with a long history
+    makes a long head, which no task holds whole.
     """
     by = [profile] if profile else []
     counts = users.join(seen.groupBy("userid").agg(F.count("*").alias("s")), "userid", "left").withColumn("need", (F.coalesce("s", F.lit(0)) + k).cast("int"))
     longest = counts.agg(F.max("need")).first()[0] or 0
-    order = Window.partitionBy(*by).orderBy(F.desc("score"), "itemid")
-    head = scores.withColumn("at", F.row_number().over(order)).where(F.col("at") <= longest)
+    order = [F.desc("score"), F.asc("itemid")]
+    places = scores.withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy(*order))) if longest <= HEAD else numbered(scores, by, order)
+    head = places.where(F.col("at") <= longest)
     asked = counts.select("userid", *by, F.explode(F.sequence(F.lit(1), "need")).alias("at"))
     return _numbered(asked.join(head, [*by, "at"]).join(seen, ["userid", "itemid"], "left_anti").select("userid", "itemid", "score"), k)
 

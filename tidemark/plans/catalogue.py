@@ -556,7 +556,25 @@ def als_rhs(spark, sf_dir):
     return parts.groupBy("userid", "k").agg(F.round((1 + _ALPHA) * F.sum("v"), 8).alias("value"))
 
 
-@query()
+def _half_step_sql() -> str:
+    """The normal equations of each user, (Q'Q + 0.5 I + alpha sum v v') x = (1 + alpha) sum v, solved by Cholesky's factors."""
+    n = range(_SIZE)
+    lower = [(i, j) for i in n for j in range(i + 1)]
+    cells = ", ".join(f"max(CASE WHEN k = {i} AND j = {j} THEN s + g END) AS a{i}{j}" for i, j in lower)
+    right = ", ".join(f"max(CASE WHEN k = {i} THEN s END) AS b{i}" for i in n)
+    less = lambda terms: "".join(f" - {t}" for t in terms)
+    steps = [f"sqrt(a{i}{i}{less(f'l{i}{h} * l{i}{h}' for h in range(i))}) AS l{i}{i}" if i == j else f"(a{i}{j}{less(f'l{i}{h} * l{j}{h}' for h in range(j))}) / l{j}{j} AS l{i}{j}" for i, j in lower]
+    steps += [f"(b{i}{less(f'l{i}{h} * z{h}' for h in range(i))}) / l{i}{i} AS z{i}" for i in n]
+    steps += [f"(z{i}{less(f'l{h}{i} * x{h}' for h in range(i + 1, _SIZE))}) / l{i}{i} AS x{i}" for i in reversed(n)]
+    return f"""WITH {_FACTORS}, gq AS (SELECT a.k, b.k AS j, sum(a.v * b.v) + CASE WHEN a.k = b.k THEN 0.5 ELSE 0 END AS g FROM q a JOIN q b USING (itemid) GROUP BY a.k, b.k),
+  w AS (SELECT l.userid, a.k, b.k AS j, {_ALPHA}::DOUBLE * sum(a.v * b.v) AS s FROM likes l JOIN q a ON a.itemid = l.itemid JOIN q b ON b.itemid = l.itemid WHERE a.k >= b.k GROUP BY l.userid, a.k, b.k),
+  r AS (SELECT l.userid, q.k, (1 + {_ALPHA}::DOUBLE) * sum(q.v) AS s FROM likes l JOIN q ON q.itemid = l.itemid GROUP BY l.userid, q.k),
+  m AS (SELECT userid, {cells} FROM w JOIN gq USING (k, j) GROUP BY userid), b AS (SELECT userid, {right} FROM r GROUP BY userid),
+  x AS (SELECT userid, {", ".join(steps)} FROM m JOIN b USING (userid))
+  {" UNION ALL ".join(f"SELECT userid, {i}::INT AS k, round(x{i}, 8) AS value FROM x" for i in n)}"""
+
+
+@query(_half_step_sql())
 def als_user_half_step(spark, sf_dir):
     y = _final(spark, sf_dir)[0]
     found = factors.fold_in(feedback.liked(y), _pq(y)[1], _SIZE, 0.5, _ALPHA)

@@ -107,6 +107,6 @@ def stamp(now: datetime.datetime) -> str:
 
 
 def write_report(tables: dict[str, DataFrame], folder: str) -> None:
-    """One CSV folder for each table of a report."""
+    """One CSV folder for each table of a report, in as many parts as the table has; parts follow its order."""
     for name, df in tables.items():
-        df.coalesce(1).write.option("header", True).csv(f"{folder}/{name}")
+        df.write.option("header", True).csv(f"{folder}/{name}")

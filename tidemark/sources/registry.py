@@ -23,7 +23,7 @@ def convert(spark: SparkSession, name: str, input_dir: str, output_dir: str) ->
     source, target = (f"{d.rstrip('/')}/{f}" for d, f in zip((input_dir, output_dir), DATASETS[name], strict=True))
     path = spark._jvm.org.apache.hadoop.fs.Path(source)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        raise FileNotFoundError(f"missing raw dump: {source}")
+        raise FileNotFoundError(f"the {name} reviews are not at {source}")
     log.write_log(log.earliest(log.complete(log.read_reviews(spark, source))), target)
     return target
 
