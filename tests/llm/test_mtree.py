@@ -57,3 +57,30 @@ def test_components_without_a_finite_floor(spark):
     rows = [(0, [1.0, 1.0]), (100, [1e306, 0.0]), (1, [1e305, 0.0]), (2, [-1.79e308, 1.0]), (3, [0.5, 0.5])]
     got = M.search_report(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(0, 1, 1), (0, 2, 3)] and got[0].score == 2**63 - 1
+
+
+def test_clusters_spare_groups(spark, monkeypatch):
+    """With the k-th score of its own cluster a query goes to few of the other groups, and finds the same rows."""
+    for name, value in (("LEAF", 8), ("FANOUT", 4), ("TREE_ROWS", 100), ("PART_ROWS", 100)):
+        monkeypatch.setattr(M, name, value)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 16))
+    rows = [(i, (4 * centres[i % 30] + rng.normal(size=16) / 50).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    index, passed, got = M.build_index(df).cache(), [], []
+    kept = M.searched_groups
+    monkeypatch.setattr(M, "searched_groups", lambda *a: passed.append(kept(*a)) or passed[-1])
+    monkeypatch.setattr(M, "drop", lambda *a: None)
+    got = sorted(map(tuple, M.top_k(index, df.where("vec_id % 100 = 0")).collect()))
+    groups = index.select("pivot", "part", "number").distinct().count()
+    assert got == brute(rows) and passed[0].count() < 30 * groups / 4
+
+
+def test_one_hot_pivot(spark, monkeypatch):
+    """Copies of one vector, and one pivot for all: rows still spread, ties go to smaller keys."""
+    for name, value in (("TREE_ROWS", 20), ("PIVOTS", 1), ("PART_ROWS", 10)):
+        monkeypatch.setattr(M, name, value)
+    rows = [(i, [1.0, 2.0]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert M.build_index(df).select("part").distinct().count() > 1
+    assert sorted(map(tuple, M.search_report(df).collect())) == brute(rows)

@@ -10,6 +10,7 @@ from dataclasses import dataclass, fields, replace
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +19,8 @@ from .common import drop, written
 
 #: Rows of a leaf page, entries of an inner page, rows of a tree, trees of a group, queries that a task searches at once.
 LEAF, FANOUT, TREE_ROWS, TREES, QUERY_BLOCK = 128, 16, 1 << 14, 8, 4096
+#: Pivots at most, and rows that are worth a task of their own while trees are built.
+PIVOTS, PART_ROWS = 256, 1024
 
 
 @dataclass(frozen=True)
@@ -198,86 +201,197 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * 1024.0) < float("inf")))
 
 
+def _pivots(rows: DataFrame, n: int) -> list[list]:
+    """The vectors of n of the rows (id, v), by least hash of the id: they only say which rows share a tree."""
+    return [r.v for r in rows.orderBy(F.xxhash64("id"), "id").select("v").limit(n).collect()]
+
+
 def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """One row for each tree of TREE_ROWS rows at most: its pages as bytes. Every usable row with a key is in one tree; map-only."""
+    """A row for each tree of TREE_ROWS rows at most: part, pivot, number, centre, reach, tree (its pages as bytes).
+
+    Every usable row with a key is in one tree. Rows go to the nearest of at most PIVOTS pivots, a sample, and are dealt by ranges of
+    pivot and key, so that many rows of one pivot are many tasks; a tree's rows have one pivot (centre) and are no further than
+    reach from it.
+    """
+    spark = vectors.sparkSession
     rows = vectors.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
+    n = rows.count()
+    pivots = matrix(_pivots(rows, max(1, min(PIVOTS, -(-n // TREE_ROWS)))))
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                own, centres = _level(matrix(list(batch.v)), pivots)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    batch["pivot"] = ((centres * centres).sum(axis=1) - 2 * (own @ centres.T)).argmin(axis=1).astype(np.int32)
+                yield batch
 
     def trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, number, now = TaskContext.get().partitionId(), 0, None
         ids: list[int] = []
         held: list = []
 
         def ready() -> pd.DataFrame:
-            return pd.DataFrame({"tree": [build(matrix(held), np.array(ids, np.int64)).to_bytes()]})
+            own, centres = _level(matrix(held), pivots[now : now + 1])
+            with np.errstate(over="ignore", invalid="ignore"):
+                reach = float(np.sqrt(((own - centres) ** 2).sum(axis=1)).max())
+            return pd.DataFrame({"part": [part], "pivot": [now], "number": [number], "centre": [pivots[now]], "reach": [reach], "tree": [build(own, np.array(ids, np.int64)).to_bytes()]})
 
         for batch in batches:
-            for i, v in zip(batch.id, batch.v, strict=True):
-                ids.append(i)
-                held.append(v)
-                if len(ids) == TREE_ROWS:
+            for i, v, pivot in zip(batch.id, batch.v, batch["pivot"], strict=True):
+                if ids and (pivot != now or len(ids) == TREE_ROWS):
                     yield ready()
+                    number += 1
                     ids, held = [], []
+                now = pivot
+                ids.append(i)
+                held.append(v)
         if ids:
             yield ready()
 
-    return rows.mapInPandas(trees, "tree binary")
+    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(parallel, -(-n // PART_ROWS)), -(-n // (TREES * TREE_ROWS)))
+    dealt = rows.mapInPandas(nearest, "id long, v array<double>, pivot int").repartitionByRange(parts, "pivot", "id").sortWithinPartitions("pivot", "id")
+    return dealt.mapInPandas(trees, "part int, pivot int, number int, centre array<double>, reach double, tree binary")
+
+
+def _level(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both in the width of the wider one."""
+    width = max(a.shape[1], b.shape[1])
+    return tuple(np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (a, b))
+
+
+@dataclass(frozen=True)
+class Balls:
+    """What is known of the rows of each pivot: none is further than reach from centre, so no inner product with a query q is
+    over q centre + |q| reach. At most PIVOTS of them."""
+
+    pivot: np.ndarray
+    centre: np.ndarray
+    reach: np.ndarray
+
+    @staticmethod
+    def of(index: DataFrame) -> Balls:
+        found = index.groupBy("pivot").agg(F.first("centre").alias("centre"), F.max("reach").alias("reach")).orderBy("pivot").collect()
+        width = max((len(r.centre) for r in found), default=0)
+        return Balls(np.array([r.pivot for r in found], np.int32), np.array([r.centre + [0.0] * (width - len(r.centre)) for r in found]).reshape(len(found), width), np.array([r.reach for r in found]))
+
+    def first(self, queries: np.ndarray) -> np.ndarray:
+        """The pivot with the largest inner product for each query."""
+        q, centre = _level(queries, self.centre)
+        with np.errstate(over="ignore", invalid="ignore"):
+            return self.pivot[(q @ centre.T).argmax(axis=1)]
+
+    def open(self, queries: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Which pivots (columns) may have rows that score least or more, with room for rounding; least is -inf for no bound."""
+        q, centre = _level(queries, self.centre)
+        with np.errstate(over="ignore", invalid="ignore"):
+            length = np.sqrt((q * q).sum(axis=1))[:, None]
+            most = q @ centre.T + length * self.reach
+            room = 1e-9 * length * (np.sqrt((centre * centre).sum(axis=1)) + self.reach)
+            return ~(most + room < least[:, None])  # what overflows stays open
+
+
+def searched_groups(balls: Balls, asked: DataFrame, groups: DataFrame) -> DataFrame:
+    """(g, id, v, least, least_id): the groups that each query (id, v, least, least_id, own) still has to pass, which are those of
+    open pivots but the one (own) that it has been to."""
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                least = batch.least.astype("float64").to_numpy(na_value=np.nan)
+                may = balls.open(matrix(list(batch.v)), np.where(np.isnan(least), -np.inf, least))
+                yield batch.assign(pivots=[balls.pivot[m].tolist() for m in may])
+
+    opened = asked.mapInPandas(ask, "id long, v array<double>, least long, least_id long, own string, pivots array<int>")
+    return opened.withColumn("pivot", F.explode("pivots")).join(groups, "pivot").where("g <> own").select("g", "id", "v", "least", "least_id")
 
 
 def top_k(index: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the k largest inner products of each query with rows of another key; ties to smaller keys.
 
-    Groups of about TREES trees are held by one task each, through which all queries pass QUERY_BLOCK at a time; a group hands
-    on its k best for a query, so what is ranked in the end grows with groups and queries, not with rows, and nothing but a
-    count goes through the driver. Vectors that are null or hold null or non-finite components, or one over 1.75e305 in size (usable()), and null keys, take no part;
+    Trees of a pivot, TREES at most, are a group, held by one task. A query first passes one group of the pivot that it has the
+    largest inner product with. Its k-th score there goes with it to the groups of those pivots that may still beat it, and to no
+    others; they hand on what does. Queries pass a group QUERY_BLOCK at a time; through the driver go counts and PIVOTS vectors.
+    Vectors that are null or hold null or non-finite components, or one over 1.75e305 in size (usable()), and null keys, take no part;
     of repeated queries one is answered; repeated rows are found as often as they stand there. Scores beyond a long are cut to
     its range, then ties again go to smaller keys; no rows or no queries give no rows.
     """
     spark = index.sparkSession
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = index.count()
-    groups = max(1, -(-n // TREES), min(n, parallel))
+    together = max(1, min(TREES, n // parallel))
+    tasks = max(1, -(-n // together))
+    g = F.concat_ws(":", "pivot", "part", F.floor(F.col("number") / together))
+    groups = index.select("pivot", g.alias("g")).distinct()
+    balls = Balls.of(index)
+    if not len(balls.pivot):
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     asked = queries.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id").agg(F.min("v").alias("v"))
-    at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + F.spark_partition_id()
-    trees = index.select(F.pmod(at, F.lit(groups)).cast("int").alias("g"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("v"), "tree")
-    each = asked.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(1).alias("kind"), "id", "v", F.lit(None).cast("binary").alias("tree"))
-    rows = trees.unionByName(each).repartitionByRange(groups, "g").sortWithinPartitions("g", "kind", "id")
-
-    def search_group(held: list[Tree], some: list[tuple[int, list]]) -> pd.DataFrame:
-        vectors = matrix([v for _, v in some])
-        best: list[list] = [[] for _ in some]
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield batch.assign(pivot=balls.first(matrix(list(batch.v))))
+
+    def search_group(held: list[Tree], some: list[tuple]) -> pd.DataFrame:
+        vectors = matrix([v for _, v, _ in some])
+        # a k-th score from elsewhere stands k times, to be beaten; one cut to a long's least bounds nothing
+        best: list[list] = [[] if floor is None else [floor] * k for _, _, floor in some]
         for tree in held:
             width = max(tree.rows.shape[1], vectors.shape[1])
             wide = replace(tree, rows=np.pad(tree.rows, ((0, 0), (0, width - tree.rows.shape[1]))))
-            for (own, _), query, heap in zip(some, np.pad(vectors, ((0, 0), (0, width - vectors.shape[1]))), best, strict=True):
+            for (own, _, _), query, heap in zip(some, np.pad(vectors, ((0, 0), (0, width - vectors.shape[1]))), best, strict=True):
                 search(wide, query, own, k, heap)
-        out = [(q, -i, s) for (q, _), heap in zip(some, best, strict=True) for s, i in heap]
+        out = [(q, -i, s) for (q, _, floor), heap in zip(some, best, strict=True) for s, i in heap if floor is None or (s, i) > floor]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, held, some = None, [], []
         for batch in batches:
-            for g, kind, i, v, tree in zip(*(batch[c] for c in ("g", "kind", "id", "v", "tree")), strict=True):
-                if g != now:
+            for at, kind, i, v, least, least_id, tree in zip(*(batch[c] for c in ("g", "kind", "id", "v", "least", "least_id", "tree")), strict=True):
+                if at != now:
                     if some:
                         yield search_group(held, some)
-                    now, held, some = g, [], []
+                    now, held, some = at, [], []
                 if kind == 0:
                     held.append(Tree.from_bytes(tree))
                     continue
-                some.append((i, v))
+                some.append((i, v, None if least is None or int(least) == _LEAST else (int(least), -int(least_id))))
                 if len(some) == QUERY_BLOCK:
                     yield search_group(held, some)
                     some = []
         if some:
             yield search_group(held, some)
 
+    none = F.lit(None).cast("long")
+    trees = index.select(g.alias("g"), F.lit(0).alias("kind"), none.alias("id"), F.lit(None).cast("array<double>").alias("v"), none.cast("string").alias("least"), none.cast("string").alias("least_id"), "tree")
+
+    def passed(some: DataFrame) -> DataFrame:
+        """Queries (g, id, v, least, least_id) through their groups."""
+        # numbers as text: pandas would turn a column of longs with nulls into doubles
+        each = some.select("g", F.lit(1).alias("kind"), "id", "v", F.col("least").cast("string").alias("least"), F.col("least_id").cast("string").alias("least_id"), F.lit(None).cast("binary").alias("tree"))
+        rows = trees.withColumn("id", F.lit(0).cast("long")).unionByName(each).repartition(tasks, "g").sortWithinPartitions("g", "kind", "id")
+        return rows.mapInPandas(run, "query_id long, vec_id long, score long")
+
+    counts = groups.groupBy("pivot").agg(F.count("*").alias("m"))
+    placed = groups.withColumn("at", F.row_number().over(Window.partitionBy("pivot").orderBy("g")) - 1)
+    own = asked.mapInPandas(first, "id long, v array<double>, pivot int").join(counts, "pivot").withColumn("at", F.pmod(F.xxhash64("id"), "m").cast("int")).join(placed, ["pivot", "at"])
+    sent, sent_at = written(own.select("g", "id", "v", none.alias("least"), none.alias("least_id")), "mtree-sent")
+    near, near_at = written(passed(sent), "mtree-near")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = rows.mapInPandas(run, "query_id long, vec_id long, score long")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    kth = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"), F.col("vec_id").alias("least_id"))
+    again = sent.select("id", "v", F.col("g").alias("own")).join(kth, "id", "left").select("id", "v", "least", "least_id", "own")
+    rest, rest_at = written(passed(searched_groups(balls, again, groups)), "mtree-rest")
+    found = near.unionByName(rest)
+    out, _ = written(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "mtree-found")
+    drop(spark, sent_at, near_at, rest_at)
+    return out
 
 
 def search_report(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """The k best of every row for the rows whose id is divisible by every; top_k() says what odd rows, ties and empty tables give."""
     index, path = written(build_index(vectors), "mtree")
-    out, _ = written(top_k(index, vectors.where(F.col("vec_id") % every == 0), k), "mtree-found")
+    out = top_k(index, vectors.where(F.col("vec_id") % every == 0), k)
     drop(vectors.sparkSession, path)
     return out
