@@ -21,8 +21,10 @@ ORDER, BACKOFF, FLOOR = 3, 4.0, 1.0 / 1024
 LOSS = 0.05
 #: One accepted URL in so many calibrates instead of teaching.
 CALIBRATION = 5
-#: A model of so many rows at most (about 100 bytes each) is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 100_000
+#: A model of so many rows at most (about 100 bytes each, 100 MB) is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Digits of a score that count: the order in which doubles are added does not reach them.
+DIGITS = 9
 _BEGIN, _END = "\u0002", "\u0003"
 
 
@@ -87,7 +89,7 @@ def fit(rows: DataFrame, text: str = "text", accepted: str = "accepted") -> Data
 
 
 def score(rows: DataFrame, model: DataFrame, text: str = "text", into: str = "score") -> DataFrame:
-    """rows with the mean log ratio of the characters of each text.
+    """rows with the mean log ratio of the characters of each text, to DIGITS digits: equal texts have equal scores.
 
     Rows are numbered and written; their characters carry the number alone, meet again under it, summed first in their task,
     and join the rest of the row. The model is broadcast behind a count of its rows; a larger one is joined by shuffle, where
@@ -97,7 +99,7 @@ def score(rows: DataFrame, model: DataFrame, text: str = "text", into: str = "sc
     numbered, _ = written(rows.withColumn(number, F.monotonically_increasing_id()), "url-rows")
     small = model.count() <= BROADCAST_ROWS
     each = numbered.select(number, F.explode(grams(F.col(text))).alias("gram"))
-    means = each.join(F.broadcast(model) if small else model, "gram").groupBy(number).agg(F.avg("ratio").alias(into))
+    means = each.join(F.broadcast(model) if small else model, "gram").groupBy(number).agg(F.round(F.avg("ratio"), DIGITS).alias(into))
     return numbered.drop(into).join(means, number, "left").drop(number)
 
 
