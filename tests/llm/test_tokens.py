@@ -89,6 +89,14 @@ def test_files(spark, sf_dir, odd, nothing, monkeypatch):
     assert B.token_files(nothing, BYTE).count() == 0
 
 
+def test_leftovers_of_other_attempts_are_not_read(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    folder = f"file://{tmp_path}/ids"
+    manifest = B.write_ids(docs, folder, BYTE, 0)
+    B.write_ids(docs.limit(7), folder, BYTE, 0)
+    check_files(B.read_ids(spark, folder, manifest).toPandas(), docs.toPandas())
+
+
 def check_pieces(got, docs, size=P.SEQUENCE):
     want = dict(zip(docs.doc_id, plain(WORD, docs.text, 1), strict=True))
     for r in got.itertuples():

@@ -90,23 +90,25 @@ class Reader:
         return self.read(self.ends[i], self.ends[i + 1])
 
 
-def _store(folder: str, name: str, data: bytes) -> None:
-    """The file appears whole or not at all; a task that runs again puts the same bytes under the same name."""
+def _store(folder: str, name: str, data: bytes) -> str:
+    """Writes a file under a name of this attempt's own, which it returns: a task that runs again never meets what an attempt
+    before it left. Readers go by the manifest, so leftovers count for nothing."""
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    part = f"{root}/.{name}.{uuid.uuid4().hex}"
-    with store.open_output_stream(part) as out:
+    file = f"{name}-{uuid.uuid4().hex}.bits"
+    with store.open_output_stream(f"{root}/{file}") as out:
         out.write(data)
-    store.move(part, f"{root}/{name}")
+    return file
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, end: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes the ids of all documents in ascending order of the key; returns the manifest (part, number, file, n_ids, n_docs).
 
     Texts are dealt by range of the key and sorted (rows with the same key by their text, null keys first), then encoded and
-    written by each task in files of bounded size. Null and empty texts are the id end alone. No other column is read.
+    written by each task in files of bounded size. Null and empty texts are the id end alone. Rows with one key, or none, are one
+    range and so one task, which streams them. No other column is read.
     """
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t"))
     dealt = rows.repartitionByRange("k").sortWithinPartitions("k", "t")
@@ -120,8 +122,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end: int, key: str =
         def flush() -> pa.RecordBatch:
             ids, lengths, keys, known = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            name = f"part-{part:06d}-{number:06d}.bits"
-            _store(folder, name, to_file(ids, np.concatenate([[0], np.cumsum(lengths)]), keys, known, bits, part, number))
+            name = _store(folder, f"part-{part:06d}-{number:06d}", to_file(ids, np.concatenate([[0], np.cumsum(lengths)]), keys, known, bits, part, number))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([name]), pa.array([len(ids)]), pa.array([len(keys)])], names=["part", "number", "file", "n_ids", "n_docs"])
 
         size = 0
@@ -140,9 +141,9 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end: int, key: str =
 
 
 def read_ids(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document in the files, start counting all ids before it in file order.
+    """doc_id, start, n_tokens, ids_crc32 of every document in the manifest's files, start counting all ids before it in their order.
 
-    The files go through Spark's own reader; what the driver gets is one sum for each writing task.
+    Other files in the folder are not counted; no documents give no rows. The files go through Spark's own reader; what the driver gets is one sum for each writing task.
     """
     before, total = [], 0
     for r in manifest.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():
@@ -150,21 +151,21 @@ def read_ids(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame
         total += r.n
     within = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     parts = spark.createDataFrame(before, "part int, base long")
-    bases = manifest.withColumn("inner", F.coalesce(F.sum("n_ids").over(within), F.lit(0))).join(parts, "part").select("part", "number", (F.col("base") + F.col("inner")).alias("base"))
+    bases = manifest.withColumn("inner", F.coalesce(F.sum("n_ids").over(within), F.lit(0))).join(parts, "part").select("part", "number", F.xxhash64("file").alias("mark"), (F.col("base") + F.col("inner")).alias("base"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0):
+            for data, mark in zip(*batch.columns, strict=True):
                 file = Reader(data.as_py())
                 n = len(file.index)
                 crcs = np.fromiter((zlib.crc32(file.document(i).astype("<u4").tobytes()) for i in range(n)), np.int64, n) if n < 2 or file.n_ids // n > file.block else _crcs(file)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, file.part, np.int32)), pa.array(np.full(n, file.number, np.int32)), pa.array(file.index["doc_id"].astype(np.int64), mask=file.index["known"] == 0), pa.array(file.ends[:-1]), pa.array(np.diff(file.ends)), pa.array(crcs)], names=["part", "number", "doc_id", "local", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, file.part, np.int32)), pa.array(np.full(n, file.number, np.int32)), pa.array(np.full(n, mark.as_py(), np.int64)), pa.array(file.index["doc_id"].astype(np.int64), mask=file.index["known"] == 0), pa.array(file.ends[:-1]), pa.array(np.diff(file.ends)), pa.array(crcs)], names=["part", "number", "mark", "doc_id", "local", "n_tokens", "ids_crc32"])
 
     if not before:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.bits").load(folder).select("content")
-    rows = files.mapInArrow(read, "part int, number int, doc_id long, local long, n_tokens long, ids_crc32 long")
-    return rows.join(bases, ["part", "number"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.bits").load(folder).select("content", F.xxhash64(F.element_at(F.split("path", "/"), -1)).alias("mark"))
+    rows = files.mapInArrow(read, "part int, number int, mark long, doc_id long, local long, n_tokens long, ids_crc32 long")
+    return rows.join(bases, ["part", "number", "mark"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def _crcs(file: Reader) -> np.ndarray:
