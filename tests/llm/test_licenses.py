@@ -1,6 +1,7 @@
 import re
 
 import pandas as pd
+import pytest
 
 from tidemark.llm import licenses as L
 from tidemark.llm.queries import op6_licenses
@@ -48,3 +49,14 @@ def test_phrases_and_errors(spark):
     assert "cc-by-nc" in got[4].labels
     found = L.scan_licenses(df).where("doc_id = 4").first().found
     assert texts[4][found[0].start : found[0].end].lower() == "licensed under cc by-nc 4.0"
+
+
+def test_notices_of_ones_own(spark):
+    """Any notices can be searched: hundreds at once, with errors, in either case; none find nothing, an empty one is an error."""
+    mine = {f"This File belongs to project number {i:04d} of the archive": f"own-{i}" for i in range(300)} | {"short": "s"}
+    df = spark.createDataFrame([(1, "x THIS FILE belongs to projct number 0123 of the archive y"), (2, "released under the mit license"), (3, None), (4, "a SHORT one, a shrt one")], "doc_id long, text string")
+    got = {r.doc_id: [x.label for x in r.found] for r in L.scan_licenses(df, notices=mine).collect()}
+    assert "own-123" in got[1] and got[2] == got[3] == [] and got[4] == ["s"]
+    assert [r.labels for r in L.license_report(df, {}).orderBy("doc_id").collect()] == ["", "mit", "", ""]
+    with pytest.raises(ValueError):
+        L.scan_licenses(df, notices={"": "none"})

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 from functools import lru_cache
 
 import ahocorasick
@@ -14,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, buffers, folded, pieces, word_bounds
+from .common import WORD, buffers, folded, lowered, pieces, word_bounds
 
 # The phrases whose words must stand consecutively, and short notices with their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -40,35 +41,48 @@ def split_notice(notice: str) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-@lru_cache(maxsize=1)
-def seeds() -> ahocorasick.Automaton:
+@dataclass(frozen=True)
+class Prepared:
+    """Notices with their labels, the seeds of all in one automaton, and an expression for each that bears its errors."""
+
+    labels: dict[str, str]
+    seeds: ahocorasick.Automaton
+    verifiers: dict[str, regex.Pattern]
+
+
+@lru_cache(maxsize=8)
+def prepared(notices: tuple[tuple[str, str], ...] = tuple(NOTICES.items())) -> Prepared:
+    """For (notice, label) pairs. A-Z is lowered as in the texts; of notices equal after that the last label counts."""
+    labels = {lowered(notice): label for notice, label in notices}
+    if "" in labels:
+        raise ValueError("a notice must not be empty")
     at: dict[str, list[tuple[str, int]]] = {}
-    for notice in NOTICES:
+    for notice in labels:
         for start, piece in split_notice(notice):
             at.setdefault(piece, []).append((notice, start))
-    out = ahocorasick.Automaton()
+    seeds = ahocorasick.Automaton()
     for piece, places in at.items():
-        out.add_word(piece, (len(piece), tuple(places)))
-    out.make_automaton()
-    return out
-
-
-@lru_cache(maxsize=1)
-def verifiers() -> dict[str, regex.Pattern]:
-    return {n: regex.compile(f"(?b)(?:{regex.escape(n, special_only=False, literal_spaces=True)}){{e<={len(n) // PER_ERROR}}}") for n in NOTICES}
+        seeds.add_word(piece, (len(piece), tuple(places)))
+    if at:
+        seeds.make_automaton()
+    bearing = lambda n: regex.compile(f"(?b)(?:{regex.escape(n, special_only=False, literal_spaces=True)}){{e<={len(n) // PER_ERROR}}}")
+    return Prepared(labels, seeds, {n: bearing(n) for n in labels})
 
 
-def fuzzy(text: str) -> list[tuple[int, int, str, int]]:
+def fuzzy(text: str, notices: Prepared | None = None) -> list[tuple[int, int, str, int]]:
     """(start, end, label, edits) of notices in a lower-cased text, in code points; no two of a notice overlap.
 
     Every seed asks for the best match in a window of its notice's own length, so the work is in proportion to the seeds. Of
     matches of a notice that overlap, those with fewer edits stay, then earlier ones. Seeds inside a match without any edit
-    are part of it and ask nothing.
+    are part of it and ask nothing. Without notices of its own it finds those of NOTICES.
     """
+    notices = notices or prepared()
+    if not notices.labels:
+        return []
     got: dict[str, set[tuple[int, int, int]]] = {}
     exact: dict[str, int] = {}
     asked: dict[str, tuple[int, int]] = {}
-    for last, (length, places) in seeds().iter(text):
+    for last, (length, places) in notices.seeds.iter(text):
         for notice, start in places:
             slack = len(notice) // PER_ERROR
             begin = last - length + 1
@@ -77,7 +91,7 @@ def fuzzy(text: str) -> list[tuple[int, int, str, int]]:
             if begin < exact.get(notice, 0) or asked.get(notice) == window:
                 continue
             asked[notice] = window
-            if match := verifiers()[notice].search(text, *window):
+            if match := notices.verifiers[notice].search(text, *window):
                 edits = sum(match.fuzzy_counts)
                 got.setdefault(notice, set()).add((edits, match.start(), match.end()))
                 if not edits:
@@ -92,7 +106,7 @@ def fuzzy(text: str) -> list[tuple[int, int, str, int]]:
                 continue
             starts.insert(at, start)
             ends.insert(at, end)
-            out.add((start, end, NOTICES[notice], edits))
+            out.add((start, end, notices.labels[notice], edits))
     return sorted(out)
 
 
@@ -102,7 +116,8 @@ def phrase_patterns() -> dict[str, re.Pattern]:
     return {p: re.compile(rb"(?<!" + word + rb")" + gap.join(map(str.encode, p.split())) + rb"(?!" + word + rb")") for p in PHRASES}
 
 
-def _scan(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], schema: pa.Schema, notices: tuple[tuple[str, str], ...]) -> Iterator[pa.RecordBatch]:
+    own_notices = prepared(notices)
     for batch in pieces(batches, "_text"):
         column = batch.column(batch.schema.get_field_index("_text"))
         data, ends = buffers(column)
@@ -118,7 +133,7 @@ def _scan(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.R
                     if at := [m.start() for m in pattern.finditer(own)]:
                         places += at
                         labels.add(PHRASES[phrase])
-            found = fuzzy(own.decode("utf-8", "surrogatepass"))
+            found = fuzzy(own.decode("utf-8", "surrogatepass"), own_notices)
             where = np.searchsorted(starts, ends[i] + np.array([min(places), max(places)])) - first[i] if places else (None, None)
             rows["found"].append([dict(zip(("start", "end", "label", "edits"), x, strict=True)) for x in found])
             rows["n_words"].append(int(first[i + 1] - first[i]))
@@ -130,21 +145,24 @@ def _scan(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([*batch.drop_columns(["_text"]).columns, *(pa.array(rows[n], schema.field(n).type) for n in rows)], schema=schema)
 
 
-def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", notices: Mapping[str, str] = NOTICES) -> DataFrame:
     """The key with what each whole text holds: fuzzy notices (spans in code points), phrase places, words, labels, similarity.
 
-    Map-only. Null and empty texts have no words and no notices (similarity 0); first_word and last_word are null without
+    notices maps what to look for, of any number, to its label; an empty text among them is a ValueError. Map-only. Null and empty texts have no words and no notices (similarity 0); first_word and last_word are null without
     a phrase; repeated rows are judged alike, null keys pass through; no other column is read, so none can clash.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
+    asked = tuple(notices.items())
+    prepared(asked)  # a bad notice fails here, not in tasks
     out = StructType([StructField(key, docs.schema[key].dataType), *_parse_datatype_string(_OUT)])
     schema = to_arrow_schema(out)
-    return docs.select(F.col(key), F.col(text).alias("_text")).mapInArrow(lambda batches: _scan(batches, schema), out)
+    return docs.select(F.col(key), F.col(text).alias("_text")).mapInArrow(lambda batches: _scan(batches, schema, asked), out)
 
 
-def license_report(docs: DataFrame) -> DataFrame:
-    """doc_id, word and phrase counts, labels and the best similarity; from scan_licenses()."""
+def license_report(docs: DataFrame, notices: Mapping[str, str] = NOTICES) -> DataFrame:
+    """doc_id, word and phrase counts, labels and the best similarity; from scan_licenses(), which says what odd rows, ties and
+    empty tables give."""
     everything = F.array_sort(F.array_distinct(F.concat("base_labels", F.transform("found", lambda x: x["label"]))))
-    return scan_licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", F.concat_ws(",", "base_labels").alias("base_labels"), F.concat_ws(",", everything).alias("labels"), F.col("similarity").alias("score"))
+    return scan_licenses(docs, notices=notices).select("doc_id", "n_words", "n_base", "first_word", "last_word", F.concat_ws(",", "base_labels").alias("base_labels"), F.concat_ws(",", everything).alias("labels"), F.col("similarity").alias("score"))
