@@ -38,3 +38,13 @@ def test_counts_and_rules_are_the_same(spark, monkeypatch):
         monkeypatch.setattr(cooccurrence, "BLOCK", block)
         found.append((sorted(map(tuple, cooccurrence.counts(likes).collect())), sorted(map(tuple, rules.pairs(t).collect()))))
     assert found[0] == found[1] and len(found[0][0]) >= 60 * 59
+
+
+def test_rare_tokens_are_dropped_before_they_are_paired(spark):
+    y = heavy(spark, 60).withColumn("y", F.lit(5.0))
+    t = rules.tokens(y)
+    users = y.select("userid").distinct().count()
+    kept = rules.frequent(t, rules.token_counts(t), users, 0.1)
+    assert 0 < kept.count() < t.count()
+    every = [tuple(r) for r in rules.rules(y, t).collect() if r.support >= 0.1]
+    assert sorted(map(tuple, rules.rules(y, t, 0.1).collect())) == sorted(every) and every

@@ -31,7 +31,8 @@ def counts(likes: DataFrame) -> DataFrame:
     """(i, j, n): users who like both, in both directions; no item with itself."""
     left, right = likes.select("userid", F.col("itemid").alias("i")), likes.select("userid", F.col("itemid").alias("j"))
     half = met(left, right).where("i < j").groupBy("i", "j").agg(F.count("*").alias("n"))
-    return half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "n"))
+    both = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+    return half.select(F.explode(both).alias("p"), "n").select("p.i", "p.j", "n")
 
 
 def sppmi(c: DataFrame, negatives: float = 1.0) -> DataFrame:

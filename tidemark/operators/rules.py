@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..storage import written
 from . import kmeans
-from .cooccurrence import met
+from .cooccurrence import counts, met
 from .feedback import LIKED, liked, seen
 from .positions import codes
 from .ranking import top_popular, top_sparse
@@ -68,8 +68,14 @@ def token_counts(t: DataFrame) -> DataFrame:
 def pairs(t: DataFrame) -> DataFrame:
     """(kind, token, itemid, n): users with the token who like the item, another one than itself."""
     items = t.where("kind = 'item'").select("userid", F.col("token").alias("itemid"))
-    pairs_ = met(t, items).where("not (kind = 'item' and token = itemid)")
-    return pairs_.groupBy("kind", "token", "itemid").agg(F.count("*").alias("n"))
+    by_cluster = met(t.where("kind <> 'item'"), items).groupBy("kind", "token", "itemid").agg(F.count("*").alias("n"))
+    return counts(items).select(F.lit("item").alias("kind"), F.col("i").alias("token"), F.col("j").alias("itemid"), "n").unionByName(by_cluster)
+
+
+def frequent(t: DataFrame, count: DataFrame, users: int, min_support: float) -> DataFrame:
+    """The tokens that enough users have: a pair is no more frequent than either side, so no rule of that support is lost."""
+    often = count.where(F.col("n") / F.lit(float(users)) >= min_support)
+    return t.join(often.select("kind", "token"), ["kind", "token"], "left_semi")
 
 
 def rules(y: DataFrame, t: DataFrame, min_support: float = 0.0, min_confidence: float = 0.0, min_lift: float = 0.0) -> DataFrame:
@@ -77,7 +83,7 @@ def rules(y: DataFrame, t: DataFrame, min_support: float = 0.0, min_confidence:
     users = y.select("userid").distinct().count()
     count = token_counts(t)
     items = count.where("kind = 'item'").select(F.col("token").alias("itemid"), F.col("n").alias("n_item"))
-    both = pairs(t).join(count.withColumnRenamed("n", "n_token"), ["kind", "token"]).join(items, "itemid")
+    both = pairs(frequent(t, count, users, min_support) if min_support > 0 else t).join(count.withColumnRenamed("n", "n_token"), ["kind", "token"]).join(items, "itemid")
     out = both.select("kind", "token", "itemid", "n", (F.col("n") / F.lit(float(users))).alias("support"), (F.col("n") / F.col("n_token").cast("double")).alias("confidence"), (F.col("n") * F.lit(float(users)) / (F.col("n_token").cast("double") * F.col("n_item"))).alias("lift"))
     return out.where((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift))
 

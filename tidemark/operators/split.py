@@ -20,7 +20,13 @@ def starts(log: DataFrame) -> DataFrame:
 
 
 def cuts(log: DataFrame, ratios: tuple[float, float, float] = RATIOS) -> DataFrame:
-    """One row (n_rows, train_end, val_end, train_cut, val_cut): the changes of time nearest to the targets, the earlier of equals.
+    """One row (n_rows, train_end, val_end, train_cut, val_cut), as boundaries() finds them."""
+    kind = dict(log.dtypes)["ts"]
+    return log.sparkSession.createDataFrame([boundaries(log, ratios)], f"n_rows long, train_end long, val_end long, train_cut {kind}, val_cut {kind}")
+
+
+def boundaries(log: DataFrame, ratios: tuple[float, float, float] = RATIOS) -> tuple:
+    """(n_rows, train_end, val_end, train_cut, val_cut): the changes of time nearest to the targets, the earlier of equals.
 
     Targets come from the ratios in double arithmetic. The last change is left to the test window; times are rows here, so
     neither events nor times meet in the driver.
@@ -40,13 +46,13 @@ def cuts(log: DataFrame, ratios: tuple[float, float, float] = RATIOS) -> DataFra
 
     train = nearest(change.where(F.col("start") < totals["last"]), ratios[0])
     val = nearest(change.where(F.col("start") > train.start), ratios[0] + ratios[1])
-    return log.sparkSession.createDataFrame([(totals.n_rows, train.start, val.start, train.ts, val.ts)], f"n_rows long, train_end long, val_end long, train_cut {dict(log.dtypes)['ts']}, val_cut {dict(log.dtypes)['ts']}")
+    return totals.n_rows, train.start, val.start, train.ts, val.ts
 
 
 def labelled(log: DataFrame, ratios: tuple[float, float, float] = RATIOS) -> DataFrame:
     """log with part: train, val or test."""
-    cut = cuts(log, ratios).first()
-    return log.withColumn("part", F.when(F.col("ts") < F.lit(cut.train_cut), "train").when(F.col("ts") < F.lit(cut.val_cut), "val").otherwise("test"))
+    *_, train, val = boundaries(log, ratios)
+    return log.withColumn("part", F.when(F.col("ts") < F.lit(train), "train").when(F.col("ts") < F.lit(val), "val").otherwise("test"))
 
 
 def stage(parts: DataFrame, final: bool = True) -> tuple[DataFrame, DataFrame]:
