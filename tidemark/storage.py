@@ -40,10 +40,15 @@ def passing(spark: SparkSession) -> Iterator[list[str]]:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table, computed once."""
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a Parquet table, computed once, and where it is."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if lists := getattr(_own, "lists", None):
         lists[-1].append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table, computed once."""
+    return written_at(df, name)[0]
