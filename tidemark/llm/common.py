@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import shared_dir
+from ..storage import shared_dir, written_at
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -26,9 +26,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df as a Parquet table in the shared folder: its lineage ends there, and lost executors cost no recomputation."""
-    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    return written_at(df, name)
 
 
 def written_alone(df: DataFrame, name: str) -> tuple[DataFrame, str]:

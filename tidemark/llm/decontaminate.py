@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, buffers, folded, lists, pieces, spans_hash, word_bounds
+from .common import WORD, buffers, folded, lists, pieces, spans_hash, word_bounds, written
 
 #: Words of a window that counts as leaked, words hashed together, and positions among which the least hash is kept:
 #: KGRAM + WINNOW - 1 = WINDOW, so any shared span of WINDOW words holds a kept k-gram.
 WINDOW, KGRAM, WINNOW = 13, 5, 9
-#: Bytes of benchmark text that are broadcast at once. A larger benchmark goes over the documents in several passes.
+#: Bytes of benchmark text that are broadcast. A larger benchmark is joined by fingerprints.
 BLOCK_BYTES = 32 << 20
 #: Bytes of text hashed at a time; a task holds about 60 times as much.
 _PIECE = 2 << 20
@@ -144,43 +144,126 @@ def _scan(bench):
 NAMELESS = -(1 << 63)
 
 
-def blocks_of(benchmark: DataFrame, item: str, text: str, most: int, nameless: bool = False) -> Iterator[list]:
-    """The items with a text and, unless nameless, an id, in blocks of about most bytes, one of which the driver holds at a time."""
-    held, size = [], 0
-    id_ = F.col(f"`{item}`").cast("long")
-    for r in benchmark.select((F.coalesce(id_, F.lit(NAMELESS)) if nameless else id_).alias("i"), F.col(f"`{text}`").alias("t")).where("i is not null and t is not null").toLocalIterator():
-        held.append((r.i, r.t))
-        size += len(r.t.encode("utf-8", "surrogatepass"))
-        if size >= most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+#: Bits of the filter that tells a document's task which hashes the benchmark may hold, and the parts among which the rows of one
+#: hash are dealt when it is joined.
+FILTER_BITS, SALTS = 1 << 27, 16
+
+
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of items (item, _text): their kept fingerprints (n = 0), and all windows (n words, hash, item). A short item is its own print."""
+    for batch in pieces(batches, "_text", _PIECE):
+        own = prepare(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1))
+        prints = np.concatenate([own.prints, *(np.unique(h) for n, (h, _) in own.windows.items() if n < WINDOW)])
+        parts = [(np.zeros(len(prints), np.int32), prints, np.full(len(prints), NAMELESS))]
+        parts += [(np.full(len(h), n, np.int32), h, own.item_ids[row]) for n, (h, row) in own.windows.items()]
+        n, hashes, items = (np.concatenate(x) for x in zip(*parts, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(hashes.view(np.int64)), pa.array(items)], names=["n", "hash", "item"])
+
+
+def _filter(prints: DataFrame) -> np.ndarray:
+    """One bit for each value of a hash's low bits, as bytes; Spark puts it together, 16 MB reach the driver at most."""
+    at = F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
+    rows = prints.select(F.bitmap_bucket_number(at).alias("b"), F.bitmap_bit_position(at).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
+    out = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
+    for r in rows:
+        out[r.b - 1] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
+def _candidates(shared, lengths: list[int]):
+    """Per document: its words, and of each place whose print and window may be the benchmark's the print, 16 * place + length, and
+    the window's hash."""
+    kind = pa.struct([("p", pa.int64()), ("c", pa.int64()), ("h", pa.int64())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+
+        def maybe(h: np.ndarray) -> np.ndarray:
+            low = (h & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+            return (bits[low >> 3] >> (low & 7).astype(np.uint8) & 1).astype(bool)
+
+        for batch in pieces(batches, "_text", _PIECE):
+            words, first = words_of(batch.column(1))
+            row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+            found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+            for n in lengths:
+                if n == WINDOW:
+                    prints, places = winnowed(words, first, KGRAM, WINNOW)
+                    ok = maybe(prints)
+                    at = (places[ok][:, None] - np.arange(WINDOW - KGRAM + 1)).ravel()
+                    prints = np.repeat(prints[ok], WINDOW - KGRAM + 1)
+                    inside = (at >= 0) & (at + n <= len(words))
+                    at, prints = at[inside], prints[inside]
+                else:
+                    at, prints = np.arange(max(0, len(words) - n + 1)), None
+                same = row[at] == row[at + n - 1]
+                at = at[same]
+                h = spans_hash(words, at, at + n)
+                ok = maybe(h)
+                found.append((h[ok] if prints is None else prints[same][ok], at[ok], h[ok], np.full(ok.sum(), n)))
+            p, at, h, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(at, kind="stable")
+            p, at, h, n = p[order], at[order], h[order], n[order]
+            code = (at - first[row[at]]) * 16 + n
+            flat = pa.StructArray.from_arrays([pa.array(p.view(np.int64)), pa.array(code), pa.array(h.view(np.int64))], fields=list(kind))
+            ends = pa.array(np.searchsorted(at, first), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(first)), pa.ListArray.from_arrays(ends, flat)], names=["_key", "_same", "n_words", "found"])
+
+    return scan
+
+
+def _joined_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Codes of a document's leaked windows as spans, overlapping ones joined."""
+    kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+    for batch in batches:
+        spans = []
+        for codes in batch.column(2):
+            c = np.array(codes.as_py() or [], np.int64)
+            start, end = merged(c // 16, c // 16 + c % 16)
+            spans.append([{"s": int(s), "e": int(e)} for s, e in zip(start, end, strict=True)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind), batch.column(3)], names=["_key", "n_words", "spans", "items"])
+
+
+def joined_leaks(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """(_key, n_words, spans, items) of rows (_key, _text, _same) against items (i, t) of any number: fingerprints of both sides are
+    joined, then the windows around those that met. Both joins deal the rows of one hash to SALTS parts; of the benchmark each task holds its
+    share and a filter of fixed size.
+    """
+    spark = rows.sparkSession
+    bench, _ = written(items.select(F.col("i").alias("item"), F.col("t").alias("_text")).mapInArrow(_prints, "n int, hash long, item long").distinct(), "leak-prints")
+    lengths = sorted(r.n for r in bench.where("n > 0").select("n").distinct().collect())
+    shared = spark.sparkContext.broadcast(_filter(bench))
+    base, _ = written(rows.mapInArrow(_candidates(shared, lengths), "_key long, _same long, n_words long, found array<struct<p:long,c:long,h:long>>"), "leak-candidates")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    asked = base.select("_key", "_same", F.pmod(F.xxhash64("_key", "_same"), F.lit(SALTS)).cast("int").alias("salt"), F.inline("found")).withColumn("n", F.pmod("c", F.lit(16)).cast("int"))
+    prints = bench.where("n = 0").select(F.col("hash").alias("p"), salts)
+    windows = bench.where("n > 0").select("n", F.col("hash").alias("h"), "item", salts)
+    hits = asked.join(prints, ["p", "salt"], "left_semi").join(windows, ["n", "h", "salt"])
+    hits = hits.groupBy("_key", "_same").agg(F.collect_set("c").alias("codes"), F.array_sort(F.collect_set("item")).alias("items"))
+    b, h = base.drop("found").alias("b"), hits.alias("h")
+    both = b.join(h, F.expr("b._key <=> h._key and b._same = h._same"), "left")
+    out = both.select("b._key", "n_words", "codes", F.coalesce("items", F.array().cast("array<long>")).alias("items"))
+    return out.mapInArrow(_joined_spans, "_key long, n_words long, spans array<struct<s:int,e:int>>, items array<long>")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", block_bytes: int | None = None, nameless: bool = False) -> DataFrame:
     """Per document: key, n_words, spans (in words, end exclusive), items (ids, sorted).
 
-    A benchmark that fits one block, the usual case, takes one pass without a shuffle. More blocks take a pass each; the
-    passes meet by key and hash of the text. Null and empty texts have no words; items with a null text are left out,
+    A benchmark that fits one block, the usual case, is broadcast and takes one pass without a shuffle. A larger one is joined
+    by fingerprints (joined_leaks). Null and empty texts have no words; items with a null text are left out,
     and so are those with a null id, unless nameless: then their windows are spans too, but no id stands for them. Items without words match nothing; repeated rows and null keys are judged as any other; other columns are not read.
     """
     spark = docs.sparkSession
     t = F.col(f"`{text}`")
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("_key"), t.alias("_text"), F.xxhash64(t).alias("_same"))
-    passes: list[DataFrame] = []
-    for block in blocks_of(benchmark, item, text, block_bytes or BLOCK_BYTES, nameless):
-        shared = spark.sparkContext.broadcast(prepare([i for i, _ in block], pa.array([x for _, x in block], pa.string())))
-        passes.append(rows.mapInArrow(_scan(shared), _HIT))
-    if not passes:
-        shared = spark.sparkContext.broadcast(prepare([], pa.array([], pa.string())))
-        passes.append(rows.mapInArrow(_scan(shared), _HIT))
-    out = passes[0]
-    if len(passes) > 1:
-        for more in passes[1:]:
-            out = out.unionAll(more)
-        one = out.groupBy("_key", "_same", "n_words").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), (F.count("*") / len(passes)).cast("int").alias("_copies"))
-        out = one.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
+    id_ = F.col(f"`{item}`").cast("long")
+    items_ = benchmark.select((F.coalesce(id_, F.lit(NAMELESS)) if nameless else id_).alias("i"), F.col(f"`{text}`").alias("t")).where("i is not null and t <> ''")
+    if (items_.agg(F.sum(F.octet_length("t"))).first()[0] or 0) > (block_bytes or BLOCK_BYTES):
+        out = joined_leaks(rows, items_)
+    else:
+        block = items_.collect()
+        shared = spark.sparkContext.broadcast(prepare([r.i for r in block], pa.array([r.t for r in block], pa.string())))
+        out = rows.mapInArrow(_scan(shared), _HIT)
     items = F.filter("items", lambda x: x != NAMELESS) if nameless else F.col("items")
     return out.select(F.col("_key").alias(key), "n_words", "spans", items.alias("items"))
 
