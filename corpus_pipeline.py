@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, langid, packing, secrets, similarity
-from tidemark.llm.common import table, written
+from tidemark.llm.common import drop, table, written
 from tidemark.llm.queries import vocabulary
+from tidemark.storage import passing
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +48,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's tables, and those of its predecessor, are deleted once its own result is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs, _ = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        with passing(spark) as made:
+            docs, path = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+            made.remove(path)
+        if last:
+            drop(spark, last)
+        last = path
     return docs
